@@ -44,6 +44,7 @@ def features(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{C.SPACE}]"))
     d = d.select(
         "doc_id", "lang", "source", "w",
+        F.xxhash64("text").alias("text_hash"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -121,9 +122,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     lang = merge(fine, "lang")
     per = limits(fine, "lang", "source")
     per_lang = limits(lang, "lang").select(F.col("lang").alias("l"), *[F.col(c).alias(f"lang_{c}") for c in _limit_names()], F.col("docs").alias("lang_docs"))
-    total = limits(merge(lang)).select(*[F.col(c).alias(f"all_{c}") for c in _limit_names()])
-    per = per.join(per_lang, F.col("lang").eqNullSafe(F.col("l"))).crossJoin(F.broadcast(total))  # total: one row
-    chosen = [F.when(F.col("docs") >= MIN_DOCS, F.col(c)).when(F.col("lang_docs") >= MIN_DOCS, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in _limit_names()]
+    total = limits(merge(lang)).first()  # one row at most
+    all_ = {c: F.lit(total[c] if total else None).cast("double") for c in _limit_names()}
+    per = per.join(per_lang, F.col("lang").eqNullSafe(F.col("l")))
+    chosen = [F.when(F.col("docs") >= MIN_DOCS, F.col(c)).when(F.col("lang_docs") >= MIN_DOCS, F.col(f"lang_{c}")).otherwise(all_[c]).alias(c) for c in _limit_names()]
     per = C.table(per.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *chosen), "quality-limits")
     right = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
     j = f.join(right, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")

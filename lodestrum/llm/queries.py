@@ -6,12 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import quality
+from . import bpe, decontaminate, linededup, quality, simhash
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(C.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = linededup.delete_repeated_runs(C.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+
+
+def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(C.read(spark, sf_dir, "documents"), outputs=False)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(C.read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_line_dedup, op8_benchmark_decontamination, op9_bpe_encoding, op10_simhash)}
+#: Digest and table lookups by hash (XXH64, CRC-32), automata and merges have no SQL form; those are tested against brute force.
 ORACLES: dict[str, str] = {}
