@@ -61,7 +61,8 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[int
             for t in b["text"]:
                 for w in vocabulary.intersection(words(t)):
                     n[w] = n.get(w, 0) + 1
-        yield pd.DataFrame({"word": list(n), "n": list(n.values())}).astype({"n": "int64"})
+        if n:
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
 
     rows = docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"]: r["n"] for r in rows}
