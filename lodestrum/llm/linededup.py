@@ -26,34 +26,47 @@ from . import common as C
 MIN_WORDS = 50
 
 
-def runs_of(text: str | None, min_words: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Lines with a word; for each the lines of the shortest run of min_words that begins there, and that ends there (0: none)."""
-    lines = [x for x in (text or "").split("\n") if x and not x.isspace() and x.encode("utf-8", "surrogatepass").split()]
-    n = len(lines)
-    upto = np.r_[0, np.cumsum([len(x.encode("utf-8", "surrogatepass").split()) for x in lines])].astype(np.int64)
+def runs_of(counts: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the words of each line: the lines of the shortest run of min_words that begins there, and that ends there (0: none)."""
+    n = len(counts)
+    upto = np.zeros(n + 1, np.int64)
+    np.cumsum(counts, out=upto[1:])
     end = np.searchsorted(upto, upto[:-1] + min_words)
     start = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
     at = np.arange(n)
-    return lines, np.where(end <= n, end - at, 0), np.where(start >= 0, at + 1 - start, 0)
+    return np.where(end <= n, end - at, 0), np.where(start >= 0, at + 1 - start, 0)
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each line with a word; the table is built once for many texts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+        from xxhash import xxh3_128_digest
 
         for b in batches:
             for at in range(0, len(b), 1000):
-                out = []
-                for rid, doc, t in b.iloc[at : at + 1000][["rid", "doc_id", "text"]].itertuples(index=False):
-                    lines, fore, back = runs_of(t, min_words)
-                    if not lines:
-                        continue
-                    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), ">i8").reshape(-1, 2).astype(np.int64)
-                    d = pd.DataFrame({"rid": rid, "seq": np.arange(len(lines)), "h1": h[:, 0], "h2": h[:, 1], "fore": fore, "back": back})
-                    d["doc_id"] = pd.array([doc] * len(lines), dtype="Int64")
-                    out.append(d)
-                if out:
-                    yield pd.concat(out, ignore_index=True)[["rid", "doc_id", "seq", "h1", "h2", "fore", "back"]]
+                part = b.iloc[at : at + 1000]
+                sizes, digests, fore, back, seq = [], [], [], [], []
+                for t in part["text"]:
+                    n = 0
+                    if t:
+                        counts = []
+                        for x in t.encode("utf-8", "surrogatepass").split(b"\n"):
+                            if w := len(x.split()):
+                                counts.append(w)
+                                digests.append(xxh3_128_digest(x))
+                        n = len(counts)
+                        if n:
+                            f, e = runs_of(counts, min_words)
+                            fore.append(f)
+                            back.append(e)
+                            seq.append(np.arange(n))
+                    sizes.append(n)
+                if digests:
+                    h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+                    d = part[["rid", "doc_id"]].astype({"doc_id": "Int64"})
+                    d = d.take(np.repeat(np.arange(len(d)), sizes)).reset_index(drop=True)
+                    yield d.assign(seq=np.concatenate(seq), h1=h[:, 0], h2=h[:, 1], fore=np.concatenate(fore), back=np.concatenate(back))
 
     return docs.mapInPandas(run, "rid long, doc_id long, seq int, h1 long, h2 long, fore int, back int")
 
@@ -140,12 +153,12 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, drop_empti
         for b in batches:
             texts, n, gone = [], [], []
             for t, runs in zip(b["text"], b["runs"], strict=True):
-                lines = (t or "").split("\n")
-                held = [i for i, x in enumerate(lines) if x.encode("utf-8", "surrogatepass").split()]
+                lines = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
+                held = [i for i, x in enumerate(lines) if x and (x[0] > 32 or x.split())]
                 dead: set[int] = set()
                 for r in runs if runs is not None else ():
                     dead.update(held[r["seq"] : r["seq"] + r["size"]])
-                texts.append("\n".join([x for i, x in enumerate(lines) if i not in dead]) if dead else t)
+                texts.append(b"\n".join([x for i, x in enumerate(lines) if i not in dead]).decode("utf-8", "surrogatepass") if dead else t)
                 n.append(len(held))
                 gone.append(len(dead))
             b = b.assign(text=texts, n_lines=np.array(n, np.int32), n_deleted=np.array(gone, np.int32))
