@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,9 @@ from . import common as C
 
 #: Least words of a run that counts as a repeat.
 MIN_WORDS = 50
+#: Rows whose texts are taken apart at once.
+SLICE = 500
+LINE = "rid long, doc_id long, seq int, h1 long, h2 long, fore int, back int"
 
 
 def runs_of(counts: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,38 +40,41 @@ def runs_of(counts: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(end <= n, end - at, 0), np.where(start >= 0, at + 1 - start, 0)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, SLICE at a time, so that a worker holds the objects of few texts at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """A row for each line with a word; the table is built once for many texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                sizes, digests, fore, back, seq = [], [], [], [], []
-                for t in part["text"]:
-                    n = 0
-                    if t:
-                        counts = []
-                        for x in t.encode("utf-8", "surrogatepass").split(b"\n"):
-                            if w := len(x.split()):
-                                counts.append(w)
-                                digests.append(xxh3_128_digest(x))
-                        n = len(counts)
-                        if n:
-                            f, e = runs_of(counts, min_words)
-                            fore.append(f)
-                            back.append(e)
-                            seq.append(np.arange(n))
-                    sizes.append(n)
-                if digests:
-                    h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                    d = part[["rid", "doc_id"]].astype({"doc_id": "Int64"})
-                    d = d.take(np.repeat(np.arange(len(d)), sizes)).reset_index(drop=True)
-                    yield d.assign(seq=np.concatenate(seq), h1=h[:, 0], h2=h[:, 1], fore=np.concatenate(fore), back=np.concatenate(back))
-
-    return docs.mapInPandas(run, "rid long, doc_id long, seq int, h1 long, h2 long, fore int, back int")
+        for b in _slices(batches):
+            sizes, digests, fore, back, seq = [], [], [], [], []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                counts = []
+                for x in t.split(b"\n") if t else ():
+                    if w := len(x.split()):
+                        counts.append(w)
+                        digests.append(xxh3_128_digest(x))
+                sizes.append(len(counts))
+                if counts:
+                    f, e = runs_of(counts, min_words)
+                    fore.append(f)
+                    back.append(e)
+                    seq.append(np.arange(len(counts)))
+            if digests:
+                h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+                own = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                ints = [np.concatenate(x).astype(np.int32) for x in (seq, fore, back)]
+                columns = [b.column("rid").take(own), b.column("doc_id").take(own), ints[0], np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), ints[1], ints[2]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=LINE.replace(",", "").split()[::2])
+
+    return docs.mapInArrow(run, LINE)
 
 
 def suffix_ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -80,15 +86,16 @@ def suffix_ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
     """
     n = rows.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for x in batches:
-            upto = x["n"].cumsum() + before
-            yield x.assign(rank=upto - x["n"])
-            before = int(upto.iloc[-1]) if len(x) else before
+            size = x.column("n").to_numpy()
+            upto = np.cumsum(size) + before
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(upto - size)], names=[*x.schema.names, "rank"])
+            before = int(upto[-1]) if len(upto) else before
 
     d = n.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn("part", F.spark_partition_id())
-    d = C.table(d.mapInPandas(place, f"{a} long, {b} long, n long, part int, rank long"), "ranks")
+    d = C.table(d.mapInArrow(place, f"{a} long, {b} long, n long, part int, rank long"), "ranks")
     shift, total = {}, 0
     for r in d.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each task
         shift[r["part"]], total = total, total + r["n"]
@@ -149,21 +156,21 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, drop_empti
     out = d.drop("rid").schema.add("n_lines", "integer").add("n_deleted", "integer")
     names = [f.name for f in out]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
             texts, n, gone = [], [], []
-            for t, runs in zip(b["text"], b["runs"], strict=True):
-                lines = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
+            for t, runs in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
+                lines = (t or b"").split(b"\n")
                 held = [i for i, x in enumerate(lines) if x and (x[0] > 32 or x.split())]
                 dead: set[int] = set()
-                for r in runs if runs is not None else ():
+                for r in runs or ():
                     dead.update(held[r["seq"] : r["seq"] + r["size"]])
-                texts.append(b"\n".join([x for i, x in enumerate(lines) if i not in dead]).decode("utf-8", "surrogatepass") if dead else t)
+                texts.append(b"\n".join([x for i, x in enumerate(lines) if i not in dead]) if dead else t)
                 n.append(len(held))
                 gone.append(len(dead))
-            b = b.assign(text=texts, n_lines=np.array(n, np.int32), n_deleted=np.array(gone, np.int32))
-            if drop_emptied:
-                b = b[(b["n_deleted"] == 0) | (b["n_deleted"] < b["n_lines"])]
-            yield b[names]
+            n, gone = np.array(n, np.int32), np.array(gone, np.int32)
+            made = {"text": pa.array(texts, pa.binary()).view(pa.string()), "n_lines": pa.array(n), "n_deleted": pa.array(gone)}
+            b = pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in names], names=names)
+            yield b.filter(pa.array((gone == 0) | (gone < n))) if drop_emptied else b
 
-    return j.mapInPandas(cut, out)
+    return j.mapInArrow(cut, out)
