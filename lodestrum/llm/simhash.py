@@ -9,6 +9,12 @@ up to one root, and a search adds up the differences in the bits that each level
 fixes and drops a whole node once they exceed the limit.
 A band value held by more than HOT fingerprints is dealt out again by four
 12-bit bands of the other 48 bits, which again loses no link.
+
+keep_one looks for texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. One 64-bit fingerprint puts such texts 9 bits apart or
+so, beyond what bands can promise; so SEEDS fingerprints of each text's two-word
+shingles are indexed the same way, members of one band group within LOOSE bits
+become candidates, and each candidate is checked on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,14 @@ HOT = 20_000
 BLOCK = 2_000_000
 #: Rows gathered before whole groups are searched.
 GATHER = 50_000
+#: Near copies: fingerprints of each text, words of their shingles, bits within a band group.
+SEEDS, FEATURE, LOOSE = 8, 2, 8
+#: Near copies: words of a shingle and least Jaccard similarity of the check, in per cent.
+SHINGLE, LEAST = 5, 80
+#: Candidates of one text that are checked in one place.
+SALTED = 256
+#: Rows whose texts are taken apart at once.
+SLICE = 500
 
 
 def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False, seed: int = 42) -> int:
@@ -129,10 +144,18 @@ class GrayIndex:
             at = end
 
 
-def stars(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a sorted run of groups as (member, representative), one row for each member."""
+def stars(group: np.ndarray, fp: np.ndarray, limit: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a sorted run of groups as places (member, representative), one row for each member.
+
+    nearest: and one more row for each member, with a partner of fewest differing bits.
+    """
     label = np.arange(len(fp))
+    best = np.full(len(fp), 65 << 40)
     for i, j in GrayIndex(group, fp).pairs(limit):
+        if nearest:
+            far = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) << 40
+            np.minimum.at(best, i, far + j)
+            np.minimum.at(best, j, far + i)
         while True:  # hook the larger root below the smaller, then shorten paths
             a, b = label[i], label[j]
             differ = a != b
@@ -143,22 +166,30 @@ def stars(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np
             while (label[label] != label).any():
                 label = label[label]
     own = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[own].view(np.int64), fp[label[own]].view(np.int64)
+    if not nearest:
+        return own, label[own]
+    close = np.flatnonzero(best < 65 << 40)
+    return np.r_[own, close], np.r_[label[own], best[close] & ((1 << 40) - 1)]
 
 
-def links(fps: DataFrame, limit: int = MAX_DIFF) -> DataFrame:
+def links(fps: DataFrame, limit: int = MAX_DIFF, own: str = "fp") -> DataFrame:
     """Edges (u, v) whose components are those of all pairs within limit bits.
 
     fps: distinct fp (long). At most one row for each fingerprint and band leaves a
     task, however many pairs a group holds.
+    With own, fps has distinct (seed, fp) and a name own (long) for each: fingerprints of one
+    seed link, edges hold the names, and each member's nearest partner gives an edge too. The limit
+    may then exceed MAX_DIFF; pairs beyond MAX_DIFF bits are found where they share a band.
     """
-    if not 0 <= limit <= MAX_DIFF:
+    named = own != "fp"
+    if limit < 0 or limit > MAX_DIFF and not named:
         raise ValueError(f"four bands are exact up to {MAX_DIFF} bits")
     spark = fps.sparkSession
     part = lambda shift, bits: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    key = F.explode(F.array(*[(F.lit(b << 16).cast("long") + part(16 * b, 16)) for b in range(4)]))
-    dealt = fps.select("fp", key.alias("key"))
-    # At most 4 x 65,536 keys exist, whatever the input; those above HOT are fewer still.
+    seed = F.shiftleft(F.col("seed").cast("long"), 18) if named else F.lit(0).cast("long")
+    key = F.explode(F.array(*[(seed + F.lit(b << 16) + part(16 * b, 16)) for b in range(4)]))
+    dealt = fps.select("fp", F.col(own).alias("own"), key.alias("key"))
+    # At most 4 x 65,536 keys exist for each seed, whatever the input; those above HOT are fewer still.
     hot = [r["key"] for r in dealt.groupBy("key").count().where(F.col("count") > HOT).select("key").collect()]
     if hot:
         held = spark.createDataFrame([(k,) for k in hot], "hot long")
@@ -166,22 +197,22 @@ def links(fps: DataFrame, limit: int = MAX_DIFF) -> DataFrame:
         others = []
         for b in range(4):
             rest = [x for x in range(64) if not 16 * b <= x < 16 * b + 16]
-            own = []
+            cuts = []
             for s in range(4):
                 bits = rest[12 * s : 12 * s + 12]
                 v = F.lit(0).cast("long")
                 for n, x in enumerate(bits):
                     v = v.bitwiseOR(F.shiftleft(part(x, 1), n))
-                own.append(F.lit(s << 12).cast("long").bitwiseOR(v))
-            others.append(F.array(*own))
-        band = F.shiftright("key", 16).cast("int")
+                cuts.append(F.lit(s << 12).cast("long").bitwiseOR(v))
+            others.append(F.array(*cuts))
+        band = F.shiftright("key", 16).cast("int").bitwiseAND(F.lit(3))
         sub = F.when(F.col("hot").isNull(), F.array(F.lit(-1).cast("long")))
         for b in range(4):
             sub = sub.when(band == b, others[b])
-        dealt = dealt.select("fp", "key", F.explode(sub).alias("sub"))
+        dealt = dealt.select("fp", "own", "key", F.explode(sub).alias("sub"))
     else:
-        dealt = dealt.select("fp", "key", F.lit(-1).cast("long").alias("sub"))
-    dealt = dealt.select("fp", (F.shiftleft("key", 16) + F.col("sub") + 1).alias("key"))
+        dealt = dealt.select("fp", "own", "key", F.lit(-1).cast("long").alias("sub"))
+    dealt = dealt.select("fp", "own", (F.shiftleft("key", 16) + F.col("sub") + 1).alias("key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -189,8 +220,9 @@ def links(fps: DataFrame, limit: int = MAX_DIFF) -> DataFrame:
         def search(d: pd.DataFrame) -> pd.DataFrame:
             g, fp = d["key"].to_numpy(), d["fp"].to_numpy().view(np.uint64)
             order = np.lexsort((gray_rank(fp), g))
-            u, v = stars(g[order], fp[order], limit)
-            return pd.DataFrame({"u": u, "v": v})
+            u, v = stars(g[order], fp[order], limit, named)
+            name = d["own"].to_numpy()[order]
+            return pd.DataFrame({"u": name[u], "v": name[v]})
 
         for b in batches:
             held.append(b)
@@ -212,13 +244,6 @@ def classes(fps: DataFrame, limit: int = MAX_DIFF) -> DataFrame:
     return C.components(links(fps, limit)).select(F.col("node").alias("fp"), "root")
 
 
-def _roots(docs: DataFrame, keep: list[str], shingle: int, distinct: bool, seed: int, limit: int) -> DataFrame:
-    """Columns keep, fp and root (a fingerprint that stands for the component) of every row."""
-    d = C.table(fingerprints(docs, keep, shingle, distinct, seed), "simhash")
-    fps = C.table(d.select("fp").distinct(), "simhash-fps")
-    return d.join(classes(fps, limit), "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
-
-
 def simhash_groups(docs: DataFrame, shingle: int = 3, distinct: bool = False, seed: int = 42, limit: int = MAX_DIFF) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (hex), component_id.
 
@@ -235,16 +260,116 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distinct: bool = False, se
     return d.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 1, distinct: bool = True, seed: int = 42, limit: int = MAX_DIFF) -> DataFrame:
-    """One row of each component of docs, that of the smallest doc_id (null first), with all its columns.
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit (the splitmix64 finish)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _shingles(w: list[bytes], size: int) -> set[bytes]:
+    """Distinct shingles; fewer words than size make one, none make none."""
+    return set(map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False))) if len(w) >= size else {b" ".join(w)} if w else set()
+
+
+def seeded_fingerprints(w: list[bytes], seeds: int = SEEDS, shingle: int = FEATURE) -> np.ndarray:
+    """One fingerprint for each seed from the distinct shingles of some words; each shingle is hashed once and then mixed."""
+    import xxhash
+
+    s = _shingles(w, shingle)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in s), np.uint64, len(s))[:, None]
+    step = np.arange(1, seeds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * seeds, np.int64)
+    for at in range(0, len(h), 4096):
+        ones += np.unpackbits(_mix(h[at : at + 4096] + step).astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(h)).view(">u8").astype(np.uint64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def _words(b: pa.RecordBatch) -> Iterator[list[bytes]]:
+    for t in b.column("text").cast(pa.binary()).to_pylist():
+        yield (t or b"").lower().split()
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, _row, same, fps): a 128-bit digest of the words and SEEDS fingerprints (null: no word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in _slices(batches):
+            same, fps = [], []
+            for w in _words(b):
+                same.append(xxh3_128_digest(b" ".join(w)))
+                fps.append(seeded_fingerprints(w).view(np.int64) if w else None)
+            made = [b.column("doc_id"), b.column("_row"), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "_row", "same", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text").mapInArrow(run, "doc_id long, _row long, same binary, fps array<long>")
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    """Rows (node, s): the 64-bit hashes of a text's distinct SHINGLE-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for b in _slices(batches):
+            s = [np.unique(np.fromiter(map(xxh3_64_intdigest, _shingles(w, SHINGLE)), np.uint64)).view(np.int64) for w in _words(b)]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(s, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return docs.select("_row", "text").mapInArrow(run, "node long, s array<long>")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of similarity LEAST or more, in integers. A v of many pairs is dealt out, SALTED pairs a place."""
+    many = pairs.groupBy("v").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("n"))
+    right = many.join(sets.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"), F.col("s").alias("t"))
+    left = pairs.join(many, "v").withColumn("salt", F.pmod(F.xxhash64("u"), "n").cast("int")).select("u", "v", "salt").join(sets.withColumnRenamed("node", "u"), "u")
+    both = F.size(F.array_intersect("s", "t"))
+    return left.join(right, ["v", "salt"]).where(100 * both >= LEAST * (F.size("s") + F.size("t") - both)).select("u", "v")
+
+
+def near_copies(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (node, root) of the components of checked links; texts: _row, text; nodes: node (a _row), fps."""
+    each = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
+    held = C.table(each.groupBy("seed", "fp").agg(F.min("node").alias("least")), "near-dedup-fps")
+    equal = each.join(held, ["seed", "fp"]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    found = links(held, LOOSE, "least").union(equal)
+    found = C.table(found.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-dedup-found")
+    ends = found.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
+    sets = C.table(_shingle_sets(texts.join(ends, "_row", "left_semi")), "near-dedup-sets")
+    # One candidate of each text first; what those join needs no further check.
+    first = found.groupBy("u").agg(F.min("v").alias("v"))
+    good = C.table(_checked(first, sets), "near-dedup-links")
+    root = C.components(good)
+    rest = found.join(first, ["u", "v"], "left_anti")
+    for c in ("u", "v"):
+        rest = rest.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    rest = rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    return C.components(good.union(C.table(_checked(rest, sets), "near-dedup-links")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies in docs, that of the smallest doc_id (null first), with all its columns.
 
-    By default the fingerprint is of the set of words: texts whose five-word
-    shingles have a Jaccard similarity of 0.8 or more differ in some 3 % of their
-    words and then in about three bits at most, while three-word shingles
-    would put them four to nine bits apart, beyond what the bands can search.
+    Texts of the same words, but for A-Z against a-z and white space, are one; others
+    link if their sets of five-word shingles have a Jaccard similarity of 0.8 (LEAST) or
+    more (under five words: the whole text is the shingle); groups are the components of links.
+    Candidates come from the Gray-order index over SEEDS fingerprints. Texts without
+    a word, nulls too, are one group. Repeated rows are one group. No rows: no rows.
     """
     own = docs.columns
-    d = C.table(docs.withColumn("_row", F.monotonically_increasing_id()), "near-dedup-texts")
-    g = C.table(_roots(d, ["doc_id", "_row"], shingle, distinct, seed, limit), "near-dedup-roots")
-    first = g.groupBy("root").agg(F.min(F.struct("doc_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
-    return d.join(first, "_row", "left_semi").select(*own)
+    d = docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(own)})
+    d = C.table(d.withColumn("_row", F.monotonically_increasing_id()), "near-dedup-texts")
+    texts = d.select("_row", F.col(f"_own_{own.index('doc_id')}").alias("doc_id"), F.col(f"_own_{own.index('text')}").alias("text"))
+    nodes = _sketches(texts).groupBy("same").agg(F.min(F.struct("doc_id", "_row")).alias("least"), F.first("fps").alias("fps"))
+    nodes = C.table(nodes.select(F.col("least._row").alias("node"), "least", "fps"), "near-dedup-nodes")
+    root = nodes.select("node", "least").join(near_copies(texts, nodes), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = root.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
+    return d.join(kept, "_row", "left_semi").select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(own)])

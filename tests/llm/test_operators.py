@@ -286,7 +286,8 @@ def test_simhash(docs, none):
     fps = [(i, plain_fingerprint(t)) for i, t, _ in TEXTS]
     want = sorted(((i, f"{f:016x}", c) for (i, f), c in zip(fps, least_reachable(fps), strict=True)), key=key)
     assert sorted((tuple(r) for r in simhash.simhash_groups(docs).collect()), key=key) == want
-    assert simhash.keep_one(docs).select("doc_id").where("doc_id = 2").count() == 1
+    # 1 and 2 share 76 of 95 five-word shingles, exactly 0.8, and 2 repeats.
+    assert [r["doc_id"] for r in simhash.keep_one(docs).where("doc_id in (1, 2)").collect()] == [1]
 
 
 @pytest.mark.parametrize("hot", [20_000, 5])
@@ -307,6 +308,43 @@ def test_simhash_links(spark, monkeypatch, hot):
     assert sorted(map(sorted, group.values())) == sorted(map(sorted, own.values()))
 
 
+def shingles(t):
+    w = words(lower(t))
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def test_keep_one(spark, docs, none):
+    assert simhash.keep_one(none).collect() == []
+    rng = np.random.default_rng(7)
+    texts = [t for _, t, _ in TEXTS]
+    for _ in range(25):
+        w = [f"v{x}" for x in rng.integers(0, 5000, int(rng.integers(30, 400)))]
+        texts.append(" ".join(w))
+        for share in (0.004, 0.012, 0.018, 0.06):  # changed words, up to well below the similarity
+            for _ in range(3):
+                texts.append(" ".join(f"z{rng.integers(0, 99)}" if rng.random() < share else x for x in w))
+    order = rng.permutation(len(texts)).tolist()
+    rows = [(i, texts[k], -i) for i, k in enumerate(order)]
+    sets = [shingles(t) for _, t, _ in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = sets[a], sets[b]
+        if (not x and not y) or 5 * len(x & y) >= 4 * len(x | y):
+            p, q = sorted((top(a), top(b)))
+            up[q] = p
+    want = {top(i) for i in range(len(rows))}
+    d = spark.createDataFrame(rows, "doc_id long, text string, `_row` long")
+    got = simhash.keep_one(d.repartition(5))
+    assert got.columns == d.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[i] for i in sorted(want)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
