@@ -11,15 +11,17 @@ A band value held by more than HOT fingerprints is dealt out again by four
 12-bit bands of the other 48 bits, which again loses no link.
 
 keep_one looks for texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. One 64-bit fingerprint puts such texts 9 bits apart or
-so, beyond what bands can promise; so SEEDS fingerprints of each text's two-word
-shingles are indexed the same way, members of one band group within LOOSE bits
-become candidates, and each candidate is checked on the shingle sets themselves.
+similarity of 0.8 or more, and finds every such pair by exact bounds. A text can
+have a partner only if 0.8 of its shingles occur elsewhere, which is counted in
+packed blocks by hash range. In what is left, the shingles are put in one order,
+rare ones first; two near copies share one among the first fifth of each. Pairs
+that share one and that sizes, places and parity sketches can't rule out are
+checked on the sets themselves. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,10 +39,14 @@ HOT = 20_000
 BLOCK = 2_000_000
 #: Rows gathered before whole groups are searched.
 GATHER = 50_000
-#: Near copies: fingerprints of each text, words of their shingles, bits within a band group.
-SEEDS, FEATURE, LOOSE = 8, 2, 8
 #: Near copies: words of a shingle and least Jaccard similarity of the check, in per cent.
 SHINGLE, LEAST = 5, 80
+#: Near copies: shingles counted in one task, about.
+COUNTED = 1_000_000
+#: Texts of one shingle looked at in one place; more are dealt out by pairs of blocks.
+SHARED = 4_000
+#: 64-bit words of a parity sketch.
+SKETCH = 8
 #: Candidates of one text that are checked in one place.
 SALTED = 256
 #: Rows whose texts are taken apart at once.
@@ -144,18 +150,10 @@ class GrayIndex:
             at = end
 
 
-def stars(group: np.ndarray, fp: np.ndarray, limit: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a sorted run of groups as places (member, representative), one row for each member.
-
-    nearest: and one more row for each member, with a partner of fewest differing bits.
-    """
+def stars(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a sorted run of groups as places (member, representative), one row for each member."""
     label = np.arange(len(fp))
-    best = np.full(len(fp), 65 << 40)
     for i, j in GrayIndex(group, fp).pairs(limit):
-        if nearest:
-            far = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) << 40
-            np.minimum.at(best, i, far + j)
-            np.minimum.at(best, j, far + i)
         while True:  # hook the larger root below the smaller, then shorten paths
             a, b = label[i], label[j]
             differ = a != b
@@ -166,30 +164,38 @@ def stars(group: np.ndarray, fp: np.ndarray, limit: int, nearest: bool = False)
             while (label[label] != label).any():
                 label = label[label]
     own = np.flatnonzero(label != np.arange(len(fp)))
-    if not nearest:
-        return own, label[own]
-    close = np.flatnonzero(best < 65 << 40)
-    return np.r_[own, close], np.r_[label[own], best[close] & ((1 << 40) - 1)]
+    return own, label[own]
 
 
-def links(fps: DataFrame, limit: int = MAX_DIFF, own: str = "fp") -> DataFrame:
+def _whole_groups(batches: Iterator[pd.DataFrame], search: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """search() of runs of whole groups of rows sorted by key."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= GATHER:
+            d = pd.concat(held, ignore_index=True)
+            last = d["key"].to_numpy() == d["key"].iloc[-1]  # this group may go on
+            if not last.all():
+                yield search(d[~last])
+                d = d[last]
+            held = [d]
+    if held:
+        yield search(pd.concat(held, ignore_index=True))
+
+
+def links(fps: DataFrame, limit: int = MAX_DIFF) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs within limit bits.
 
     fps: distinct fp (long). At most one row for each fingerprint and band leaves a
     task, however many pairs a group holds.
-    With own, fps has distinct (seed, fp) and a name own (long) for each: fingerprints of one
-    seed link, edges hold the names, and each member's nearest partner gives an edge too. The limit
-    may then exceed MAX_DIFF; pairs beyond MAX_DIFF bits are found where they share a band.
     """
-    named = own != "fp"
-    if limit < 0 or limit > MAX_DIFF and not named:
+    if not 0 <= limit <= MAX_DIFF:
         raise ValueError(f"four bands are exact up to {MAX_DIFF} bits")
     spark = fps.sparkSession
     part = lambda shift, bits: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    seed = F.shiftleft(F.col("seed").cast("long"), 18) if named else F.lit(0).cast("long")
-    key = F.explode(F.array(*[(seed + F.lit(b << 16) + part(16 * b, 16)) for b in range(4)]))
-    dealt = fps.select("fp", F.col(own).alias("own"), key.alias("key"))
-    # At most 4 x 65,536 keys exist for each seed, whatever the input; those above HOT are fewer still.
+    key = F.explode(F.array(*[(F.lit(b << 16) + part(16 * b, 16)) for b in range(4)]))
+    dealt = fps.select("fp", key.alias("key"))
+    # At most 4 x 65,536 keys exist, whatever the input; those above HOT are fewer still.
     hot = [r["key"] for r in dealt.groupBy("key").count().where(F.col("count") > HOT).select("key").collect()]
     if hot:
         held = spark.createDataFrame([(k,) for k in hot], "hot long")
@@ -209,34 +215,19 @@ def links(fps: DataFrame, limit: int = MAX_DIFF, own: str = "fp") -> DataFrame:
         sub = F.when(F.col("hot").isNull(), F.array(F.lit(-1).cast("long")))
         for b in range(4):
             sub = sub.when(band == b, others[b])
-        dealt = dealt.select("fp", "own", "key", F.explode(sub).alias("sub"))
+        dealt = dealt.select("fp", "key", F.explode(sub).alias("sub"))
     else:
-        dealt = dealt.select("fp", "own", "key", F.lit(-1).cast("long").alias("sub"))
-    dealt = dealt.select("fp", "own", (F.shiftleft("key", 16) + F.col("sub") + 1).alias("key"))
+        dealt = dealt.select("fp", "key", F.lit(-1).cast("long").alias("sub"))
+    dealt = dealt.select("fp", (F.shiftleft("key", 16) + F.col("sub") + 1).alias("key"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def search(d: pd.DataFrame) -> pd.DataFrame:
-            g, fp = d["key"].to_numpy(), d["fp"].to_numpy().view(np.uint64)
-            order = np.lexsort((gray_rank(fp), g))
-            u, v = stars(g[order], fp[order], limit, named)
-            name = d["own"].to_numpy()[order]
-            return pd.DataFrame({"u": name[u], "v": name[v]})
-
-        for b in batches:
-            held.append(b)
-            if sum(map(len, held)) >= GATHER:
-                d = pd.concat(held, ignore_index=True)
-                last = d["key"].to_numpy() == d["key"].iloc[-1]  # this group may go on
-                if not last.all():
-                    yield search(d[~last])
-                    d = d[last]
-                held = [d]
-        if held:
-            yield search(pd.concat(held, ignore_index=True))
+    def search(d: pd.DataFrame) -> pd.DataFrame:
+        g, fp = d["key"].to_numpy(), d["fp"].to_numpy().view(np.uint64)
+        order = np.lexsort((gray_rank(fp), g))
+        u, v = stars(g[order], fp[order], limit)
+        name = d["fp"].to_numpy()[order]
+        return pd.DataFrame({"u": name[u], "v": name[v]})
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(lambda batches: _whole_groups(batches, search), "u long, v long")
 
 
 def classes(fps: DataFrame, limit: int = MAX_DIFF) -> DataFrame:
@@ -267,22 +258,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _shingles(w: list[bytes], size: int) -> set[bytes]:
-    """Distinct shingles; fewer words than size make one, none make none."""
-    return set(map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False))) if len(w) >= size else {b" ".join(w)} if w else set()
+class _Hashes(dict):
+    """Hash of each word, made once."""
 
+    def __missing__(self, w: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        h = self[w] = xxh3_64_intdigest(w)
+        return h
 
-def seeded_fingerprints(w: list[bytes], seeds: int = SEEDS, shingle: int = FEATURE) -> np.ndarray:
-    """One fingerprint for each seed from the distinct shingles of some words; each shingle is hashed once and then mixed."""
-    import xxhash
 
-    s = _shingles(w, shingle)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in s), np.uint64, len(s))[:, None]
-    step = np.arange(1, seeds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones = np.zeros(64 * seeds, np.int64)
-    for at in range(0, len(h), 4096):
-        ones += np.unpackbits(_mix(h[at : at + 4096] + step).astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(h)).view(">u8").astype(np.uint64)
+def shingle_hashes(w: list[bytes], seen: _Hashes) -> np.ndarray:
+    """Distinct SHINGLE-word shingles as sorted hashes; fewer words make one, none make none."""
+    h = np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
+    if not len(h):
+        return h
+    size = min(SHINGLE, len(h))
+    many = len(h) - size + 1
+    out = np.full(many, size, np.uint64)
+    for k in range(size):
+        out = _mix(out + h[k : k + many])
+    return np.unique(out)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,34 +292,85 @@ def _words(b: pa.RecordBatch) -> Iterator[list[bytes]]:
         yield (t or b"").lower().split()
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, _row, same, fps): a 128-bit digest of the words and SEEDS fingerprints (null: no word)."""
+def _digests(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, _row, same): a 128-bit digest of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in _slices(batches):
-            same, fps = [], []
-            for w in _words(b):
-                same.append(xxh3_128_digest(b" ".join(w)))
-                fps.append(seeded_fingerprints(w).view(np.int64) if w else None)
-            made = [b.column("doc_id"), b.column("_row"), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "_row", "same", "fps"])
+            same = pa.array([xxh3_128_digest(b" ".join(w)) for w in _words(b)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), same], names=["doc_id", "_row", "same"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text").mapInArrow(run, "doc_id long, _row long, same binary")
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Shingles that a text of n has in common with any near copy, at least."""
+    return (LEAST * n + 99) // 100
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", "text").mapInArrow(run, "doc_id long, _row long, same binary, fps array<long>")
+
+def _with_partners(texts: DataFrame) -> DataFrame:
+    """Rows (_row) of texts of which enough shingles occur in another row: a superset of those with a near copy.
+
+    Each slice of texts is sent out by hash range as packed 32-bit remainders with the text's place,
+    and each range sends back one count for each text. Equal remainders only keep more.
+    """
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(12, max(4, (chars // 6 // COUNTED).bit_length()))
+    parts = 1 << bits
+    kind = "part int, chunk long, rows binary, sizes binary, place binary, rest binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            if not b.num_rows:
+                continue
+            seen = _Hashes()
+            sets = [shingle_hashes(w, seen) for w in _words(b)]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            h = np.concatenate(sets)
+            part = (h >> np.uint64(64 - bits)).astype(np.int16)
+            order = np.argsort(part, kind="stable")
+            place = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+            rest = (h >> np.uint64(32 - bits)).astype(np.uint32)[order]
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = b.column("_row").to_numpy()
+            made = [(p, int(rows[0]), rows.tobytes() if p == 0 else None, sizes.tobytes(), place[i:j].tobytes(), rest[i:j].tobytes()) for p, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if p == 0 or j > i]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "chunk", "rows", "sizes", "place", "rest"])
+
+    def count(t: pa.Table) -> pa.Table:
+        place = [np.frombuffer(x, np.uint16) for x in t.column("place").to_pylist()]
+        rest = [np.frombuffer(x, np.uint32) for x in t.column("rest").to_pylist()]
+        _, inverse, times = np.unique(np.concatenate(rest), return_inverse=True, return_counts=True)
+        often, at, found = times[inverse] > 1, 0, []
+        for p, sizes in zip(place, t.column("sizes").to_pylist(), strict=True):
+            found.append(np.bincount(p[often[at : at + len(p)]], minlength=len(sizes) // 4).astype(np.int32).tobytes())
+            at += len(p)
+        return t.select(["chunk", "rows", "sizes"]).append_column("found", pa.array(found, pa.binary()))
+
+    def enough(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in t.column("found").to_pylist())
+        rows = next(np.frombuffer(x, np.int64) for x in t.column("rows").to_pylist() if x is not None)
+        sizes = np.frombuffer(t.column("sizes")[0].as_py(), np.int32).astype(np.int64)
+        return pa.table({"_row": rows[(sizes > 0) & (total >= least_shared(sizes))]})
+
+    dealt = texts.select("_row", "text").mapInArrow(deal, kind)
+    counted = dealt.groupBy("part").applyInArrow(count, "chunk long, rows binary, sizes binary, found binary")
+    return counted.groupBy("chunk").applyInArrow(enough, "_row long")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """Rows (node, s): the 64-bit hashes of a text's distinct SHINGLE-word shingles."""
+    """Rows (node, n, s, sketch): hashes of a text's distinct shingles, how many, and the parity of how many fall on each bit of a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         for b in _slices(batches):
-            s = [np.unique(np.fromiter(map(xxh3_64_intdigest, _shingles(w, SHINGLE)), np.uint64)).view(np.int64) for w in _words(b)]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(s, pa.list_(pa.int64()))], names=["node", "s"])
+            seen = _Hashes()
+            s = [shingle_hashes(w, seen) for w in _words(b)]
+            n = pa.array([len(x) for x in s], pa.int32())
+            odd = [np.packbits(np.bincount((x & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).tobytes() for x in s]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), n, pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array(odd, pa.binary())], names=["node", "n", "s", "sketch"])
 
-    return docs.select("_row", "text").mapInArrow(run, "node long, s array<long>")
+    return docs.select("_row", "text").mapInArrow(run, "node long, n int, s array<long>, sketch binary")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -335,24 +382,74 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(right, ["v", "salt"]).where(100 * both >= LEAST * (F.size("s") + F.size("t") - both)).select("u", "v")
 
 
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """Rows (key, node, n, place): each text's shingles that others have, of those that come first; place counts all, from 0."""
+    each = sets.select("node", "n", F.explode("s").alias("key"))
+    times = C.table(each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "near-dedup-times")
+    own = each.join(times, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("x"))
+    # Shingles of one text only come before all others; they are counted, not listed.
+    alone = F.col("n") - F.size("x")
+    first = F.col("n") - F.floor((LEAST * F.col("n") + 99) / 100).cast("int") + 1
+    own = own.withColumn("alone", alone).withColumn("x", F.slice("x", F.lit(1), F.greatest(F.lit(0), first - alone)))
+    return own.select("node", "n", "alone", F.posexplode("x").alias("at", "y")).select(F.col("y.key").alias("key"), "node", "n", (F.col("alone") + F.col("at")).alias("place"))
+
+
+def candidates(posts: DataFrame) -> DataFrame:
+    """Distinct pairs (u > v) of posts (key, node, n, place, sketch, root) that share a key, of unlike roots, and may be near copies.
+
+    A key of more than SHARED rows is dealt out by pairs of blocks, so every pair of its rows meets in one task.
+    """
+    held = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    d = posts.join(held.select("key", F.ceil(F.col("c") / SHARED).cast("int").alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Side -1: all pairs of one block; 0 and 1: pairs across two blocks.
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    d = d.select(pair.alias("key"), "node", "n", "place", "sketch", "root", side.alias("side"))
+
+    def search(d: pd.DataFrame) -> pd.DataFrame:
+        key, node, n, place, root, side = (d[c].to_numpy() for c in ("key", "node", "n", "place", "root", "side"))
+        n = n.astype(np.int64)
+        sketch = np.frombuffer(b"".join(d["sketch"]), np.uint64).reshape(-1, SKETCH)
+        end = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
+        many = np.repeat(end, np.diff(np.r_[0, end])) - np.arange(len(key)) - 1
+        upto, at, out = np.cumsum(many), 0, []
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+            m = many[at:to]
+            i = np.repeat(np.arange(at, to), m)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            least = -(-LEAST * (n[i] + n[j]) // (100 + LEAST))
+            # At the first shared key no more than what follows it can be shared; other keys of a pair may drop it.
+            may = (root[i] != root[j]) & ((side[i] < 0) | (side[i] != side[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+            i, j, least = i[may], j[may], least[may]
+            differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            may = differ <= n[i] + n[j] - 2 * least
+            i, j = node[i[may]], node[j[may]]
+            out.append(np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1), axis=0))
+            at = to
+        uv = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"u": uv[:, 0], "v": uv[:, 1]})
+
+    found = d.repartition("key").sortWithinPartitions("key").mapInPandas(lambda batches: _whole_groups(batches, search), "u long, v long")
+    return found.distinct()
+
+
 def near_copies(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (node, root) of the components of checked links; texts: _row, text; nodes: node (a _row), fps."""
-    each = nodes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    held = C.table(each.groupBy("seed", "fp").agg(F.min("node").alias("least")), "near-dedup-fps")
-    equal = each.join(held, ["seed", "fp"]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    found = links(held, LOOSE, "least").union(equal)
-    found = C.table(found.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-dedup-found")
-    ends = found.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
-    sets = C.table(_shingle_sets(texts.join(ends, "_row", "left_semi")), "near-dedup-sets")
-    # One candidate of each text first; what those join needs no further check.
-    first = found.groupBy("u").agg(F.min("v").alias("v"))
-    good = C.table(_checked(first, sets), "near-dedup-links")
+    """Rows (node, root) of the components of near copies; texts: _row, text; nodes: node (a _row), one for each distinct text."""
+    ends = _with_partners(texts).join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
+    sets = C.table(_shingle_sets(texts.join(C.table(ends, "near-dedup-ends"), "_row", "left_semi")), "near-dedup-sets")
+    posts = C.table(_rare_first(sets), "near-dedup-posts")
+    # One candidate of each text and shingle first; what those join needs no further check.
+    first = posts.groupBy("key").agg(F.min("node").alias("v"))
+    first = posts.join(first, "key").where("node <> v").groupBy("node", "v").agg(F.count("*").alias("c"))
+    first = first.groupBy("node").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select(F.col("node").alias("u"), "v")
+    sets_only = sets.select("node", "s")
+    good = C.table(_checked(first, sets_only), "near-dedup-links")
     root = C.components(good)
-    rest = found.join(first, ["u", "v"], "left_anti")
-    for c in ("u", "v"):
-        rest = rest.join(root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    rest = rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    return C.components(good.union(C.table(_checked(rest, sets), "near-dedup-links")))
+    posts = posts.join(sets.select("node", "sketch"), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return C.components(good.union(C.table(_checked(candidates(posts), sets_only), "near-dedup-links")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -361,15 +458,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts of the same words, but for A-Z against a-z and white space, are one; others
     link if their sets of five-word shingles have a Jaccard similarity of 0.8 (LEAST) or
     more (under five words: the whole text is the shingle); groups are the components of links.
-    Candidates come from the Gray-order index over SEEDS fingerprints. Texts without
-    a word, nulls too, are one group. Repeated rows are one group. No rows: no rows.
+    Every pair of that similarity is found (near_copies). Texts without a word, nulls
+    too, are one group. Repeated rows are one group. No rows: no rows.
     """
     own = docs.columns
     d = docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(own)})
     d = C.table(d.withColumn("_row", F.monotonically_increasing_id()), "near-dedup-texts")
     texts = d.select("_row", F.col(f"_own_{own.index('doc_id')}").alias("doc_id"), F.col(f"_own_{own.index('text')}").alias("text"))
-    nodes = _sketches(texts).groupBy("same").agg(F.min(F.struct("doc_id", "_row")).alias("least"), F.first("fps").alias("fps"))
-    nodes = C.table(nodes.select(F.col("least._row").alias("node"), "least", "fps"), "near-dedup-nodes")
+    nodes = _digests(texts).groupBy("same").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
+    nodes = C.table(nodes.select(F.col("least._row").alias("node"), "least"), "near-dedup-nodes")
     root = nodes.select("node", "least").join(near_copies(texts, nodes), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = root.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
     return d.join(kept, "_row", "left_semi").select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(own)])

@@ -345,6 +345,50 @@ def test_keep_one(spark, docs, none):
     assert sorted(tuple(r) for r in got.collect()) == [rows[i] for i in sorted(want)]
 
 
+def copies_kept(texts):
+    """Places kept of texts: the first of each component of pairs of similarity 0.8 or more."""
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        x, y = sets[a], sets[b]
+        if (not x and not y) or 5 * len(x & y) >= 4 * len(x | y):
+            p, q = sorted((top(a), top(b)))
+            up[q] = p
+    return sorted({top(i) for i in range(len(texts))})
+
+
+def kept(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in simhash.keep_one(d.repartition(5)).collect())
+
+
+def template_pages():
+    """Pages of one template that lie below the similarity, and for every third one a copy above it."""
+    rng = np.random.default_rng(11)
+    frame = [f"t{x}" for x in range(300)]
+    texts = []
+    for i in range(240):
+        w = frame + [f"p{i}x{x}" for x in range(48)]
+        texts.append(" ".join(w))
+        if i % 3 == 0:
+            at = set(rng.choice(300, 6, replace=False).tolist())
+            texts.append(" ".join(f"c{i}x{k}" if k in at else x for k, x in enumerate(w)))
+    return texts
+
+
+def test_keep_one_templates(spark):
+    texts = template_pages()
+    want = copies_kept(texts)
+    assert len(want) == 240
+    assert kept(spark, texts) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
