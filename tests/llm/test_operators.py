@@ -389,6 +389,17 @@ def test_keep_one_templates(spark):
     assert kept(spark, texts) == want
 
 
+def test_keep_one_blocks(spark):
+    rng = np.random.default_rng(13)
+    texts = []
+    for i in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 100_000, 200)]
+        block = [f"b{i}x{x}" for x in range(40)]
+        at = int(rng.integers(20, 180))
+        texts += [" ".join(w), " ".join((w + block, w[:-38], w[:at] + block + w[at:], w[38:], w + block[:20])[i % 5])]
+    assert kept(spark, texts) == copies_kept(texts)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
