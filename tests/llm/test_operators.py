@@ -400,6 +400,16 @@ def test_keep_one_blocks(spark):
     assert kept(spark, texts) == copies_kept(texts)
 
 
+def test_keep_one_hot(spark, monkeypatch):
+    # Small bounds: every shared shingle is dealt out by pairs of blocks and nothing is lost.
+    monkeypatch.setattr(simhash, "SHARED", 50, raising=False)
+    monkeypatch.setattr(simhash, "HOT", 5)
+    texts = template_pages()
+    assert kept(spark, texts) == copies_kept(texts)
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1, 1, 0)], "fp long, own long, seed int"), simhash.MAX_DIFF + 1)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
