@@ -33,9 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs within the edit budget."""
-    hit = decontaminate.contaminated(docs, C.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti").select(*docs.columns)
+    """Rows in whose own text no benchmark item occurs within the edit budget, whatever ids are null or repeat."""
+    # The verdict is a function of the text alone, so its hash is the key.
+    hit = decontaminate.contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), C.read(spark, sf_dir, "benchmark"))
+    hit = hit.select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["hit"], "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -410,6 +410,17 @@ def test_keep_one_hot(spark, monkeypatch):
         simhash.links(spark.createDataFrame([(1, 1, 0)], "fp long, own long, seed int"), simhash.MAX_DIFF + 1)
 
 
+def test_pipeline_decontaminates_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "which of these rivers flows through the largest number of capital cities in the whole of europe"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "before " + item + " after"), (None, "clean text of no item"), (7, item), (7, "another clean text"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.decontamination(spark, d, str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in got), key=key) == sorted([rows[1], rows[3], rows[4]], key=key)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
