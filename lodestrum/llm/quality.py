@@ -2,7 +2,7 @@
 
 Everything here is a DataFrame expression. The sketch is a relative-error
 histogram: a value v > 0 falls into bin ceil(log(v) / log(GAMMA)), zero into
-bin null-like MIN_BIN, so a sketch is a set of (bin, count) rows, merging two
+ZERO_BIN, so a sketch is a set of (bin, count) rows, merging two
 is adding counts, and any quantile is right to within a factor of GAMMA. It is
 deterministic, unlike sketches that compact at random.
 """
@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Ratio between neighbouring bins of the sketch.
-GAMMA = 1.02
+GAMMA = 1.005
 ZERO_BIN = -1
-#: A group with fewer passing documents takes the sketch of its language, then that of all.
-MIN_DOCS = 200
-#: Fence: upper quartile plus this many quartile ranges (below: the lower one less as many).
-FENCE = 6.0
-#: No upper limit goes below these (in thousandths), so that uniform groups keep ordinary text.
-LEAST_LIMIT = {"symbols": 40, "dup_lines": 400, "repeats": 440, "word_len": 7000}
-#: The lower limit on the mean word length does not go above this.
-MOST_LOW = 3000
+#: A group's quantiles are weighed against its language's as its passing documents against so many, a language's
+#: against those of all likewise: small groups lean on their parent, and no size switches from one to the other.
+PRIOR_DOCS = 200
+#: Per metric (all in thousandths): lower and upper quantile, and the spreads between them that a limit lies beyond the
+#: upper one. Middle quartiles fence what is alike in most texts; repetition has a long tail, so there the tail is.
+FENCES = {"symbols": (0.25, 0.75, 6.0), "dup_lines": (0.5, 0.99, 2.0), "repeats": (0.5, 0.99, 2.0), "word_len": (0.25, 0.75, 6.0)}
+#: Least spread, in thousandths: differences below one in a hundred count as none.
+LEAST_SPREAD = 10
+#: The metric that also has a lower limit, as far below its lower quantile.
+BOTH_SIDES = "word_len"
 #: Threshold rows up to which they are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 20_000
-METRICS = list(LEAST_LIMIT)
+METRICS = list(FENCES)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -92,20 +94,39 @@ def merge(s: DataFrame, *keys: str) -> DataFrame:
     return s.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
 
 
-def limits(s: DataFrame, *keys: str) -> DataFrame:
-    """Lower and upper limit of every metric, a row for each group of a sketch.
+def quantiles(s: DataFrame, *keys: str) -> DataFrame:
+    """The lower and upper quantile of every metric (lo_, hi_) and the documents of each group of a sketch.
 
     A quantile is the upper edge of the bin that holds it, rounded down.
     """
     by = Window.partitionBy(*keys, "metric")
     d = s.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    edge = F.when(F.col("bin") == ZERO_BIN, F.lit(0)).otherwise(F.floor(F.pow(F.lit(GAMMA), F.col("bin")) + 1e-9)).cast("long")
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("all") - 1)), edge))
-    d = d.groupBy(*keys, "metric").agg(at(0.25).alias("lo"), at(0.75).alias("hi"), F.max("all").alias("docs"))
-    span = FENCE * (F.col("hi") - F.col("lo"))
-    pick = lambda k, c: F.max(F.when(F.col("metric") == k, c))
-    cols = [F.greatest(pick(k, F.col("hi") + span), F.lit(float(v))).alias(f"max_{k}") for k, v in LEAST_LIMIT.items()]
-    return d.groupBy(*keys).agg(*cols, F.least(pick("word_len", F.col("lo") - span), F.lit(float(MOST_LOW))).alias("min_word_len"), F.max("docs").alias("docs"))
+    edge = F.when(F.col("bin") == ZERO_BIN, F.lit(0)).otherwise(F.floor(F.pow(F.lit(GAMMA), F.col("bin")) + 1e-9)).cast("double")
+    at = lambda k, q: F.min(F.when((F.col("metric") == k) & (F.col("upto") > F.floor(q * (F.col("all") - 1))), edge))
+    return d.groupBy(*keys).agg(*[at(k, q[i]).alias(f"{c}_{k}") for k, q in FENCES.items() for i, c in enumerate(("lo", "hi"))], F.max("all").alias("docs"))
+
+
+def _quantile_names() -> list[str]:
+    return [f"{c}_{k}" for k in METRICS for c in ("lo", "hi")]
+
+
+def limits(fine: DataFrame) -> DataFrame:
+    """Limits of every (lang, source) of a sketch: max_ of each metric, min_word_len, docs, own_share.
+
+    Each quantile is the mean of the group's own and its language's, weighed by the
+    group's documents and PRIOR_DOCS; a language's leans on that of all in the same
+    way. own_share is the weight of the group's own sketch.
+    """
+    lang = merge(fine, "lang")
+    total = quantiles(merge(lang)).first()  # one row at most
+    lean = lambda own, parent: (F.col("docs") * own + PRIOR_DOCS * parent) / (F.col("docs") + PRIOR_DOCS)
+    per_lang = quantiles(lang, "lang").select(F.col("lang").alias("g_parent"), *[lean(F.col(c), F.lit(total[c] if total else None).cast("double")).alias(f"p_{c}") for c in _quantile_names()])
+    own = quantiles(fine, "lang", "source").join(per_lang, F.col("lang").eqNullSafe(F.col("g_parent")))
+    own = own.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "docs", *[lean(F.col(c), F.col(f"p_{c}")).alias(c) for c in _quantile_names()])
+    spread = lambda k: F.greatest(F.col(f"hi_{k}") - F.col(f"lo_{k}"), F.lit(float(LEAST_SPREAD)))
+    cols = [(F.col(f"hi_{k}") + q[2] * spread(k)).alias(f"max_{k}") for k, q in FENCES.items()]
+    low = (F.col(f"lo_{BOTH_SIDES}") - FENCES[BOTH_SIDES][2] * spread(BOTH_SIDES)).alias(f"min_{BOTH_SIDES}")
+    return own.select("g_lang", "g_source", "docs", (F.col("docs") / (F.col("docs") + PRIOR_DOCS)).alias("own_share"), *cols, low)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -117,23 +138,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     no rows; repeated rows count, and are judged, as often as they occur.
     """
     f = C.table(measures(features(docs)), "quality")
-    ok = f.where(~F.col("base_failed"))
-    fine = C.table(sketch(ok, "lang", "source"), "quality-sketch")
-    lang = merge(fine, "lang")
-    per = limits(fine, "lang", "source")
-    per_lang = limits(lang, "lang").select(F.col("lang").alias("l"), *[F.col(c).alias(f"lang_{c}") for c in _limit_names()], F.col("docs").alias("lang_docs"))
-    total = limits(merge(lang)).first()  # one row at most
-    all_ = {c: F.lit(total[c] if total else None).cast("double") for c in _limit_names()}
-    per = per.join(per_lang, F.col("lang").eqNullSafe(F.col("l")))
-    chosen = [F.when(F.col("docs") >= MIN_DOCS, F.col(c)).when(F.col("lang_docs") >= MIN_DOCS, F.col(f"lang_{c}")).otherwise(all_[c]).alias(c) for c in _limit_names()]
-    per = C.table(per.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *chosen), "quality-limits")
+    fine = C.table(sketch(f.where(~F.col("base_failed")), "lang", "source"), "quality-sketch")
+    per = C.table(limits(fine), "quality-limits")
     right = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
     j = f.join(right, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    fine_text = F.col("word_len") >= F.col("min_word_len")
+    fine_text = F.col(BOTH_SIDES) >= F.col(f"min_{BOTH_SIDES}")
     for k in METRICS:
         fine_text = fine_text & (F.col(k) <= F.col(f"max_{k}"))
     return j.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine_text, F.lit(False))).drop("g_lang", "g_source")
-
-
-def _limit_names() -> list[str]:
-    return [f"max_{k}" for k in METRICS] + ["min_word_len"]

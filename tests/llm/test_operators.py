@@ -71,6 +71,48 @@ def test_quality(docs, none):
     assert got == sorted(want, key=key)
 
 
+def quality_verdicts(rows):
+    """kept of rows (base_failed, lang, source, metrics in thousandths) by lists, without sketches' tables."""
+    logs, prior = math.log(quality.GAMMA), quality.PRIOR_DOCS
+
+    def quantile(group, k, q):
+        bins = sorted(quality.ZERO_BIN if r[3][k] <= 0 else math.ceil(math.log(r[3][k]) / logs) for r in group)
+        b = bins[math.floor(q * (len(bins) - 1))]
+        return 0.0 if b == quality.ZERO_BIN else float(math.floor(quality.GAMMA**b + 1e-9))
+
+    ok = [r for r in rows if not r[0]]
+    out = []
+    for failed, lang, source, m in rows:
+        own, per = [r for r in ok if r[1:3] == (lang, source)], [r for r in ok if r[1] == lang]
+        verdict = not failed
+        for k, (lo, hi, mult) in quality.FENCES.items() if verdict else ():
+            q = []
+            for x in (lo, hi):
+                p = (len(per) * quantile(per, k, x) + prior * quantile(ok, k, x)) / (len(per) + prior)
+                q.append((len(own) * quantile(own, k, x) + prior * p) / (len(own) + prior))
+            spread = mult * max(q[1] - q[0], quality.LEAST_SPREAD)
+            verdict &= m[k] <= q[1] + spread and (k != quality.BOTH_SIDES or m[k] >= q[0] - spread)
+        out.append(verdict)
+    return out
+
+
+def test_quality_limits_are_the_groups_own(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PRIOR_DOCS", 20)
+    rng = np.random.default_rng(2)
+    rows, odd = [], " ".join(f"qqq{x}yyyy ######q{x}" for x in range(100, 160))
+    for i in range(400):
+        code = i % 2
+        w = [f"{'#' * int(rng.integers(0, 1 + i % 9)) if code else ''}w{x}{'y' * int(x % 7)}" for x in rng.integers(0, 10_000, 120)]
+        rows.append((i, " ".join(w + w[: int(rng.integers(0, 12))]), "en" if i % 3 else None, ("prose", "code")[code]))
+    rows += [(1000, odd, "en", "prose"), (1001, odd, "en", "code"), (1002, odd, "xx", None), (1003, None, "en", "code")]
+    f = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    by = {r["doc_id"]: r for r in f}
+    assert (by[1000]["kept"], by[1001]["kept"], by[1003]["kept"]) == (False, True, False)
+    assert by[1000]["max_symbols"] < by[1001]["max_symbols"]
+    want = quality_verdicts([(r["base_failed"], r["lang"], r["source"], {k: r[k] for k in quality.METRICS}) for r in f])
+    assert [r["kept"] for r in f] == want and 0 < sum(want) < len(want)
+
+
 def test_lattice(docs, none):
     assert lattice.score(none).collect() == []
     got = sorted((tuple(r) for r in lattice.score(docs).collect()), key=key)
