@@ -2,70 +2,70 @@
 
 The kernel of two texts is the number of character n-grams (n = 1, 2, 3, the
 blended spectrum) present in both, over the root of the product of their own
-numbers. LANDMARKS texts span the Nyström feature space, in which one ridge
+numbers. N-grams of whole code points, of any script, are told apart by a hash of
+SLOTS values. LANDMARKS texts span the Nyström feature space, in which one ridge
 regression for each language is solved; scoring a batch is three matrix products.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Training rows leave another remainder than HELD by FOLDS.
 FOLDS, HELD = 4, 2
-#: Bound on the labelled rows the classifier is fitted on, all languages together.
+#: Bound on the labelled texts the classifier is fitted on, all languages together.
 FIT_ROWS = 2000
 LANDMARKS = 192
-#: Characters with a code of their own; all others share code 0.
-ALPHABET = 127
+#: Values of the hash of an n-gram.
+SLOTS = 1 << 17
 RIDGE = 1e-3
 #: N-grams of fewer sampled texts are left out of the feature space.
 LEAST_TEXTS = 2
-#: Texts scored in one matrix product.
-BATCH = 256
+#: Texts scored in one matrix product, and characters of a text taken apart at once.
+BATCH, PIECE = 64, 1 << 18
+#: Texts that pass the first cut of the sample, as a multiple of those wanted.
+SPARE = 1.5
 UNKNOWN = "und"
 
 
-def _grams(text: str, code: np.ndarray) -> list[np.ndarray]:
-    """Numbers of the 1-, 2- and 3-grams of the whole text, in order of place; n-grams of different n differ."""
-    u = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = code[np.minimum(u, len(code) - 1)]
-    size = ALPHABET + 1
-    two = c[:-1] * size + c[1:]
-    return [c, size + two, size + size * size + two[:-1] * size + c[2:]]
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """Slots of the 1-, 2- and 3-grams of the whole text, piece by piece."""
+    text = text.lower()
+    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+    for at in range(0, len(text), PIECE):
+        c = np.frombuffer(text[at : at + PIECE + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for n in (1, 2, 3):
+            if len(c) >= n:
+                g = np.full(len(c) - n + 1, n, np.uint64)
+                for k in range(n):
+                    g = (g << np.uint64(21)) | c[k : len(c) - n + 1 + k]
+                yield ((g * np.uint64(0x9E3779B97F4A7C15) ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> shift
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def _codes(chars: list[str]) -> np.ndarray:
-    code = np.zeros(0x3001, np.int64)
-    for n, c in enumerate(chars, 1):
-        code[ord(c)] = n
-    return code
-
-
 class Classifier:
-    """chars: alphabet in order; grams: their numbers in the feature space; the rest is what fit() solved."""
+    """grams: slots in the feature space; the rest is what fit() solved."""
 
-    def __init__(self, chars: list[str], grams: np.ndarray, marks: np.ndarray, norms: np.ndarray, weights: np.ndarray, langs: list[str]):
-        self.chars, self.grams, self.marks, self.norms, self.weights, self.langs = chars, grams, marks, norms, weights, langs
-        self.code = _codes(chars)
-        size = ALPHABET + 1
-        self.slot = np.full(size + size**2 + size**3, len(grams), np.int32)
+    def __init__(self, grams: np.ndarray, marks: np.ndarray, norms: np.ndarray, weights: np.ndarray, langs: list[str]):
+        self.grams, self.marks, self.norms, self.weights, self.langs = grams, marks, norms, weights, langs
+        self.slot = np.full(SLOTS, len(grams), np.int32)
         self.slot[grams] = np.arange(len(grams), dtype=np.int32)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.grams) + 1), np.float32)
         for row, t in zip(out, texts, strict=True):
-            for g in _grams(t, self.code):
+            for g in _grams(t):
                 row[self.slot[g]] = 1
         return out[:, :-1]
 
@@ -80,65 +80,78 @@ class Classifier:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """Labelled training rows, about FIT_ROWS at most, as many of each language as there are, by hash of text and id."""
+    """Rows (lang, text): of each language's distinct training texts those of smallest hash, FIT_ROWS at most in all.
+
+    The languages share FIT_ROWS equally; beyond FIT_ROWS languages the commonest count. A
+    cut by hash, set from an estimate of how many distinct texts there are, comes
+    before any grouping, so no language, text or id that fills the table gathers in one task.
+    """
+    top = (1 << 63) - 1
     train = docs.where((C.crc_mod(F.col("doc_id"), FOLDS) != HELD) & F.col("lang").isNotNull() & F.coalesce(F.length("text") > 0, F.lit(False)))
-    n = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_ROWS).collect()}
+    train = train.select("lang", "text", F.xxhash64("lang", "text").bitwiseAND(F.lit(top)).alias("h"))
+    n = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_ROWS).collect()}
     if not n:
-        return train.limit(0)
+        return train.limit(0).select("lang", "text")
     each = max(1, FIT_ROWS // len(n))
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    pick = F.lit(False)
-    for lang, m in n.items():
-        pick = pick | ((F.col("lang") == lang) & (u < int(min(1.0, each / m) * 1_000_000)))
-    return train.where(pick)
+    # A few texts of a language are all taken; of many, SPARE times as many as wanted pass.
+    cut = {lang: top if m <= 8 * each else int(SPARE * each / m * top) for lang, m in n.items()}
+    below = F.element_at(F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]), F.col("lang"))
+    few = train.where(F.col("h") <= F.coalesce(below, F.lit(-1))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    return few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= each).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Classifier | None:
     """Fit on the sample; None if no labelled text has a letter.
 
-    Executors turn the sampled texts into sets of n-grams, and those are what the driver gathers.
+    Executors turn the sampled texts into sets of n-grams, SLOTS bits each, and those are what the driver gathers.
     """
-    s = C.table(sample(docs).select("doc_id", "text", "lang"), "langid-sample")
-
-    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [c for t in b["text"] for c in set(t.lower())]
-            yield pd.DataFrame({"ch": rows}, dtype=object)
-
-    found = s.select("text").mapInPandas(letters, "ch string").groupBy("ch").count().orderBy(F.desc("count"), "ch").limit(4 * ALPHABET).collect()
-    chars = [r["ch"] for r in found if len(r["ch"]) == 1 and ord(r["ch"]) <= 0x3000][:ALPHABET]
-    code = _codes(chars)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[[has_letter(t) for t in b["text"]]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "g": [np.unique(np.concatenate(_grams(t, code))).astype(np.int32).tobytes() for t in b["text"]]}).astype({"doc_id": "Int64"})
-
-    rows = s.select(F.col("doc_id").cast("long"), "text", "lang").mapInPandas(sets, "doc_id long, lang string, g binary").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], bytes(r["g"])))
-    sets_ = [np.frombuffer(r["g"], np.int32) for r in rows]
-    langs = sorted({r["lang"] for r in rows})
-    grams, n = np.unique(np.concatenate(sets_), return_counts=True)
-    grams = grams[n >= LEAST_TEXTS] if (n >= LEAST_TEXTS).any() else grams
-    x = np.zeros((len(rows), len(grams)), np.float32)
-    for i, g in enumerate(sets_):
-        at = np.searchsorted(grams, g)
-        at = at[(at < len(grams)) & (grams[np.minimum(at, len(grams) - 1)] == g)]
-        x[i, at] = 1
-    norm = np.sqrt(np.maximum(x.sum(axis=1), 1))
+            yield pd.DataFrame({"lang": b["lang"], "g": [packed(t) for t in b["text"]]})
+
+    rows = [(r["lang"], bytes(r["g"])) for r in sample(docs).mapInPandas(sets, "lang string, g binary").collect()]
+    return solve(sorted(rows)) if rows else None
+
+
+def packed(text: str) -> bytes:
+    """Presence of every slot, a bit each."""
+    held = np.zeros(SLOTS, bool)
+    for g in _grams(text):
+        held[g] = True
+    return np.packbits(held).tobytes()
+
+
+def solve(rows: list[tuple[str, bytes]]) -> Classifier:
+    """Ridge regression of rows (lang, presence) over the landmarks' feature space."""
+    bits = np.frombuffer(b"".join(g for _, g in rows), np.uint8).reshape(len(rows), -1)
+    langs = sorted({lang for lang, _ in rows})
+    # The presence matrix is unpacked a few rows at a time.
+    unpacked = lambda at: np.unpackbits(bits[at : at + BATCH], axis=1)
+    n = sum(unpacked(at).sum(axis=0, dtype=np.int32) for at in range(0, len(rows), BATCH))
+    grams = np.flatnonzero(n >= LEAST_TEXTS) if (n >= LEAST_TEXTS).any() else np.flatnonzero(n)
     # Landmarks in turn from each language, in order of the rows.
-    turn = sorted(range(len(rows)), key=lambda i: (sum(r["lang"] == rows[i]["lang"] for r in rows[:i]), rows[i]["lang"]))
-    marks = sorted(turn[:LANDMARKS])
-    m, mn = x[marks], norm[marks]
+    seen: Counter = Counter()
+    turn = []
+    for i, (lang, _) in enumerate(rows):
+        turn.append((seen[lang], lang, i))
+        seen[lang] += 1
+    marks = sorted(i for *_, i in sorted(turn)[:LANDMARKS])
+    m = np.unpackbits(bits[marks], axis=1)[:, grams].astype(np.float32)
+    mn = np.sqrt(np.maximum(m.sum(axis=1), 1))
+    kernel, norm = [], []
+    for at in range(0, len(rows), BATCH):
+        x = unpacked(at)[:, grams].astype(np.float32)
+        norm.append(np.sqrt(np.maximum(x.sum(axis=1), 1)))
+        kernel.append(x @ m.T / np.outer(norm[-1], mn))
     own, vec = np.linalg.eigh((m @ m.T / np.outer(mn, mn)).astype(float))
     keep = own > 1e-6 * own.max()
     root = vec[:, keep] / np.sqrt(own[keep])
-    z = (x @ m.T / np.outer(norm, mn)) @ root
-    y = np.array([[1.0 if r["lang"] == lang else -1.0 for lang in langs] for r in rows])
+    z = np.concatenate(kernel) @ root
+    y = np.array([[1.0 if own_lang == lang else -1.0 for lang in langs] for own_lang, _ in rows])
     w = np.linalg.solve(z.T @ z + RIDGE * len(rows) * np.eye(z.shape[1]), z.T @ y)
-    return Classifier(chars, grams, m, mn, (root @ w).astype(np.float32), langs)
+    return Classifier(grams, m, mn, (root @ w).astype(np.float32), langs)
 
 
 def identify(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
@@ -150,7 +163,7 @@ def identify(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["lang"] if "lang" in docs.columns else []))
     model = model or fit(docs)
-    parts = model and (model.chars, model.grams, np.packbits(model.marks.astype(bool), axis=1), model.norms, model.weights, model.langs)
+    parts = model and (model.grams, np.packbits(model.marks.astype(bool), axis=1), model.norms, model.weights, model.langs)
     sent = docs.sparkSession.sparkContext.broadcast(parts)  # LANDMARKS bits for each n-gram of the bounded sample
     out = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -158,7 +171,7 @@ def identify(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
         m = None
         if sent.value:
             p = list(sent.value)
-            p[2] = np.unpackbits(p[2], axis=1, count=len(p[1])).astype(np.float32)
+            p[1] = np.unpackbits(p[1], axis=1, count=len(p[0])).astype(np.float32)
             m = Classifier(*p)
         for b in batches:
             lang, score = [UNKNOWN] * len(b), np.zeros(len(b))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrum.llm import bpe, decontaminate, langid, lattice, licenses, linededup, quality, secrets, simhash, surrogates
 
@@ -156,6 +157,50 @@ def test_langid(spark, docs, none):
     assert np.mean([r["lang"] == r["lang_pred"] for r in p]) > 0.95
 
 
+def test_langid_scripts_and_sample(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = {"zh": "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03", "ja": "\u3042\u3044\u3046\u3048\u304a\u4e00", "ko": "\uac00\ub098\ub2e4\ub77c\ub9c8", "ru": "абвгд", "en": "abcde", "eo": "edcba"}
+    draw = lambda lang: " ".join("".join(rng.choice(list(letters[lang]), 4) if lang != "eo" else ["ec"[k % 2] for k in range(4)]) for _ in range(30))
+    rows = [(i, draw(lang), lang) for i, lang in enumerate(list(letters) * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(held) > 30 and all(r["lang"] == r["lang_pred"] for r in held)
+    # One id, null or not, and one text that fill the table neither gather nor push others out.
+    monkeypatch.setattr(langid, "FIT_ROWS", 60)
+    many = d.union(d.sparkSession.createDataFrame([(None, "x " * 20, "en")] * 500 + [(1, f"y{i}", "en") for i in range(900)], d.schema))
+    got = collections.Counter(r["lang"] for r in langid.sample(many).collect())
+    assert got == dict.fromkeys(letters, 10) | {"eo": 1}  # distinct texts
+    assert sorted(map(tuple, langid.sample(many.repartition(7)).collect())) == sorted(map(tuple, langid.sample(many).collect()))
+
+
+def test_langid_kernel():
+    texts = ["abcab", "x" * 9 + "é中"]
+    for t in texts:
+        want = {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+        assert len(np.unique(np.concatenate(list(langid._grams(t))))) == len(want)
+    long = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 700_000)))
+    piece = langid.PIECE
+    whole = set(np.concatenate(list(langid._grams(long))).tolist())
+    langid.PIECE = 1 << 30
+    assert set(np.concatenate(list(langid._grams(long))).tolist()) == whole
+    langid.PIECE = piece
+    # Kernel ridge regression written out, over the same landmarks.
+    words_ = {"a": ["aba", "abba", "baab"], "b": ["xyx", "yxxy", "xxyy"]}
+    rows = [(lang, t) for lang, ts in words_.items() for t in ts]
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    held = collections.Counter(g for _, t in rows for g in grams(t))
+    some = lambda t: {g for g in grams(t) if held[g] >= langid.LEAST_TEXTS}
+    k = lambda a, b: len(some(a) & some(b)) / math.sqrt(max(1, len(some(a))) * max(1, len(some(b))))
+    gram = np.array([[k(a, b) for _, b in rows] for _, a in rows])
+    y = np.array([[1.0 if lang == x else -1.0 for x in "ab"] for lang, _ in rows])
+    alpha = np.linalg.pinv(gram @ gram + langid.RIDGE * len(rows) * gram, rcond=1e-9) @ gram @ y
+    want = [np.array([k("abab", b) for _, b in rows]) @ alpha, np.array([k("xyab", b) for _, b in rows]) @ alpha]
+    m = langid.solve([(lang, langid.packed(t)) for lang, t in rows])
+    x = m.presence(["abab", "xyab"])
+    got = (x @ m.marks.T) / (np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] * m.norms) @ m.weights
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_licenses(docs, none):
     assert licenses.scan(none).collect() == []
     got = sorted((tuple(r) for r in licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()), key=key)
@@ -175,6 +220,57 @@ def test_license_template(spark):
     assert sorted(r)[0]["matches"][0]["first"] == 2
 
 
+def template_labels(w):
+    """Labels by trying every template at every place, with its longest common subsequence by dynamic programming."""
+    out = set()
+    for label, t, keys in licenses.TEMPLATES:
+        t, keys = t.split(), [k.split() for k in keys]
+        slack = max(2, int(licenses.SLACK * len(t)))
+        for s in range(-slack, len(w) - len(t) // 2):
+            part = w[max(0, s - slack) : s + len(t) + slack]
+            if all(licenses._has(part, k) for k in keys):
+                row = [0] * (len(t) + 1)
+                for x in part:
+                    last = row
+                    row = [0]
+                    for j, y in enumerate(t):
+                        row.append(last[j] + 1 if x == y else max(row[-1], last[j + 1]))
+                if row[-1] >= licenses.LEAST_MATCH * len(t):
+                    out.add(label)
+                    break
+    return out
+
+
+def test_license_templates_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    fill = lambda n: [f"v{x}" if x % 3 else ("the", "and", "software", "license")[x % 4] for x in rng.integers(0, 9000, n)]
+    rows = []
+    for label, t, keys in licenses.TEMPLATES:
+        t = t.split()
+        whole = lambda w: all(licenses._has(w, k.split()) for k in keys)
+        p = next(i for i in range(2, len(t)) if whole(t[:i] + ["added"] + t[i:]) and whole(t[:i] + t[i + 1 :]))
+        for k, change in enumerate([lambda t: t, lambda t: t[:p] + ["added"] + t[p:], lambda t: t[:p] + t[p + 1 :], lambda t: t[: len(t) // 2], lambda t: sorted(t)]):
+            rows.append((len(rows), " ".join(fill(70 * (k % 3)) + change(list(t)) + fill(40)), label if k < 3 else None))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, text, label in rows:
+        own = {m["label"] for m in got[i]["matches"]}
+        assert own == template_labels(text.split()), (i, label)
+        assert label is None or label in own
+
+
+def test_in_order():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        a, b = (rng.integers(0, 4, rng.integers(1, 30)).astype(str).tolist() for _ in range(2))
+        row = [0] * (len(a) + 1)
+        for x in b:
+            row, last = [0], row
+            for j, y in enumerate(a):
+                row.append(last[j] + 1 if x == y else max(row[-1], last[j + 1]))
+        masks = {c: sum(1 << i for i, x in enumerate(a) if x == c) for c in set(a)}
+        assert licenses.in_order(masks, len(a), b) == row[-1]
+
+
 def brute_runs(rows, least):
     seen, out = set(), []
     for i, t in rows:
@@ -245,6 +341,54 @@ def test_surrogates(spark, docs, none):
     assert len({re.search(r"ip (\S+)", t)[1] for t in rows.values()}) == 400
 
 
+def luhn_rest(s):
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(s)))) % 10
+
+
+def iban_rest(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_surrogates_of_dense_and_checked_formats(spark):
+    two = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    odd = ["DE89370400440532013000", "GB29NWBK60161331926819", "DE00370400440532013000", "4111111111111111", "4111111111111112", "127.0.0.1", "233.1.2.3", "0.0.0.0", "_@-.co", "123-45-6789"]
+    rows = [(i, f"see {x}!") for i, x in enumerate(two + odd)] + [(9000, "\x01\x02anna@example.org\x01\x03 x \x01")]
+    got = [r["text"] for r in sorted(surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect())]
+    new = [t[4:-1] for t in got[:-1]]
+    assert sorted(new[:676]) == sorted(two) and not any(a == b for a, b in zip(new, two, strict=False))
+    de, gb, bad, card, wrong, *rest = new[676:]
+    assert iban_rest(de) == iban_rest(gb) == 1 and de[:2] + gb[:2] == "DEGB" and gb[4:8].isalpha() and iban_rest(bad) != 1 and bad[4:] == de[4:]
+    assert luhn_rest(card) == 0 and luhn_rest(wrong) != 0 and card[:-1] == wrong[:-1] != "411111111111111" and card[0] == "4"
+    assert rest[0].startswith("127.") and rest[0] != "127.0.0.1" and rest[3] == "_@-.co" and re.fullmatch(r"[1-8]\d\d-\d\d-\d{4}", rest[4])
+    assert re.fullmatch("\x01\x02[a-z]{4}@[a-z]{7}.org\x01\x03 x \x01", got[-1])
+    e = spark.createDataFrame([("ip", f"{a}.{b}.0.9") for a in range(256) for b in range(8)], "kind string, canon string")
+    e = surrogates.with_surrogates(e.select(F.array(F.array(F.struct("kind", "canon"))).alias("e")), "e").select(F.col("e")[0][0].alias("x")).select("x.*")
+    assert e.where("canon = sur or not sur rlike '^[0-9]+([.][0-9]+){3}$'").count() == surrogates.collisions(e) == 0 and e.distinct().count() == 2048
+    assert surrogates.collisions(e.withColumn("sur", F.lit("1.1.1.1"))) == 1
+
+
+def test_surrogates_walk_past_listed_names(spark, monkeypatch):
+    # All names of two letters that keep their last one; those that come out as listed go on.
+    names = [a + "a" for a in "bcdfghjklmnpqrstvwxyz"]
+    monkeypatch.setattr(surrogates, "NAMES", {"f-latin": [n.capitalize() for n in names[:8]]})
+    d = spark.createDataFrame([("name", n) for n in names], "kind string, canon string").select(F.array(F.array(F.struct("kind", "canon"))).alias("e"))
+    got = {r["x"]["canon"]: r["x"]["sur"] for r in surrogates.with_surrogates(d, "e").select(F.col("e")[0][0].alias("x")).collect()}
+    assert sorted(got.values()) == names and all(a != b for a, b in got.items())
+    assert {got[n] for n in names[:8]} == set(names[:8])
+
+
+def test_surrogates_of_names(spark):
+    rows = [(1, "Emily Watson and EMILY met Mr. Brown; Emily left."), (2, "Dear Brown, my name is Zoltan Berg"), (3, "the new york rose and mary"), (4, "Анна и Иван, 王芳.")]
+    for k in ("a", "b"):
+        got = {r["doc_id"]: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), k).collect()}
+        x = re.fullmatch(r"(\w+) ([A-Z][a-z]{4}n) and ([A-Z]+) met Mr\. ([A-Z][a-z]{3}n); (\w+) left\.", got[1]["text"])
+        assert x[1].upper() == x[3] == x[5].upper() and x[1] in surrogates.NAMES["f-latin"] and x[1] != "Emily" and x[2] != "Watson"
+        assert re.fullmatch(rf"Dear {x[4]}, my name is [A-Z][a-z]{{4}}n [A-Z][a-z]{{2}}g", got[2]["text"]) and "Berg" not in got[2]["text"]
+        assert got[3]["n_entities"] == 0 and got[3]["text"] == rows[2][1]
+        y = re.fullmatch(r"(\w+) и (\w+), (\w+)\.", got[4]["text"])
+        assert y[1] in surrogates.NAMES["f-cyrillic"] and y[2] in surrogates.NAMES["m-cyrillic"] and y[3] in surrogates.NAMES["f-han"]
+
+
 def edit(pattern, text):
     prev = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
