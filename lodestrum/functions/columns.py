@@ -93,13 +93,49 @@ def newsnr_sg(snr, rchisq, sg):
     return F.when(sg > 4, r / F.sqrt(sg / 4)).otherwise(r)
 
 
-def newsnr_psdvar(snr, rchisq, v, least=0.65):
-    v = F.when(v < least, 1.0).otherwise(v)
-    return newsnr(snr / F.sqrt(v), rchisq / v)
+#: Fixed value: variation of the spectrum below which it counts as none.
+LEAST_VARIATION = 0.65
 
 
-def newsnr_psdvar_scaled(snr, rchisq, v, scale=0.33):
-    return newsnr(snr, rchisq) / F.pow(v, scale)
+def variation(v):
+    return F.when(v < LEAST_VARIATION, 1.0).otherwise(v)
+
+
+def newsnr_psdvar(snr, rchisq, sg, v):
+    """SNR and chi-square taken in units of the varying spectrum."""
+    v = variation(v)
+    return newsnr_sg(snr / F.sqrt(v), rchisq / v, sg)
+
+
+def newsnr_psdvar_threshold(snr, rchisq, sg, v, most_chisq=10.0, most_variation=10.0):
+    return F.when((rchisq > most_chisq) | (v > most_variation), 1.0).otherwise(newsnr_psdvar(snr, rchisq, sg, v))
+
+
+def newsnr_psdvar_scaled(snr, rchisq, sg, v, scale=0.33):
+    return newsnr_sg(snr, rchisq, sg) / F.pow(variation(v), scale)
+
+
+def newsnr_psdvar_scaled_threshold(snr, rchisq, sg, v, most_chisq=2.0):
+    return F.when(rchisq > most_chisq, 1.0).otherwise(newsnr_psdvar_scaled(snr, rchisq, sg, v))
+
+
+#: Rankings of a single event by name, of (snr, reduced chi-square, sine-Gaussian chi-square, variation).
+RANKINGS = {
+    "snr": lambda s, x, g, v: s,
+    "newsnr": lambda s, x, g, v: newsnr(s, x),
+    "new_snr": lambda s, x, g, v: newsnr(s, x),
+    "newsnr_sgveto": lambda s, x, g, v: newsnr_sg(s, x, g),
+    "newsnr_sgveto_psdvar": newsnr_psdvar,
+    "newsnr_sgveto_psdvar_threshold": newsnr_psdvar_threshold,
+    "newsnr_sgveto_psdvar_scaled": newsnr_psdvar_scaled,
+    "newsnr_sgveto_psdvar_scaled_threshold": newsnr_psdvar_scaled_threshold,
+}
+
+
+def ranking(name: str, snr, rchisq, sg, v) -> Column:
+    if name not in RANKINGS:
+        raise ValueError(f"no ranking {name}; there are {', '.join(RANKINGS)}")
+    return RANKINGS[name](snr, rchisq, sg, v)
 
 
 def quadrature(*stats):

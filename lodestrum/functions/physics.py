@@ -13,8 +13,8 @@ from .columns import MTSUN, eta
 PI = math.pi
 C_SI = 299792458.0
 GPS_EPOCH = 315964800
-# UTC days from which a further leap second holds, first one counted 10 s off GPS.
-LEAPS = ["1994-07-01", "1996-01-01", "1997-07-01", "1999-01-01", "2006-01-01", "2009-01-01", "2012-07-01", "2015-07-01", "2017-01-01"]
+# UTC days from which a further leap second holds, from the beginning of GPS time.
+LEAPS = ["1981-07-01", "1982-07-01", "1983-07-01", "1985-07-01", "1988-01-01", "1990-01-01", "1991-01-01", "1992-07-01", "1993-07-01", "1994-07-01", "1996-01-01", "1997-07-01", "1999-01-01", "2006-01-01", "2009-01-01", "2012-07-01", "2015-07-01", "2017-01-01"]
 # Vertex in metres, directions of the two arms, Earth-fixed axes.
 SITES = {
     "H1": ((-2.16141492636e6, -3.83469517889e6, 4.60035022664e6), (-0.22389266154, 0.79983062746, 0.55690487831), (-0.91397818574, 0.02609403989, -0.40492342125)),
@@ -63,12 +63,20 @@ def snr_from_loglr(x):
 
 
 # --- time and sky -----------------------------------------------------------------
-def gps_from_unix(s: Column) -> Column:
-    """GPS seconds of UTC seconds since 1970, from July 1994 on."""
+def _leaps() -> list[int]:
     import datetime as dt
 
-    days = [int(dt.datetime.fromisoformat(x).replace(tzinfo=dt.UTC).timestamp()) for x in LEAPS]
-    return s - GPS_EPOCH + reduce(lambda a, b: a + b, [F.when(s >= x, 1).otherwise(0) for x in days]) + 9
+    return [int(dt.datetime.fromisoformat(x).replace(tzinfo=dt.UTC).timestamp()) for x in LEAPS]
+
+
+def gps_from_unix(s: Column) -> Column:
+    """GPS seconds of UTC seconds since 1970; null before GPS time began."""
+    return F.when(s >= GPS_EPOCH, s - GPS_EPOCH + reduce(lambda a, b: a + b, [F.when(s >= x, 1).otherwise(0) for x in _leaps()]))
+
+
+def unix_from_gps(g: Column) -> Column:
+    """UTC seconds since 1970 of GPS seconds; a leap second itself is given as the second after it. Null before GPS time began."""
+    return F.when(g >= 0, g + GPS_EPOCH - reduce(lambda a, b: a + b, [F.when(g >= x - GPS_EPOCH + n, 1).otherwise(0) for n, x in enumerate(_leaps())]))
 
 
 def gmst(unix: Column) -> Column:
@@ -84,14 +92,18 @@ def tensor(site: str) -> list[list[float]]:
 
 
 def antenna_pattern(site: str, ra, dec, psi, sidereal) -> tuple[Column, Column]:
-    """Responses (plus, cross) of a detector, from its tensor in the wave's frame."""
-    g, d = sidereal - ra, tensor(site)
-    sg, cg, sd, cd, sp, cp = F.sin(g), F.cos(g), F.sin(dec), F.cos(dec), F.sin(psi), F.cos(psi)
-    x = (-cp * sg - sp * cg * sd, -cp * cg + sp * sg * sd, sp * cd)
-    y = (sp * sg - cp * cg * sd, sp * cg + cp * sg * sd, cp * cd)
-    cells = [(i, j, d[i][j]) for i in range(3) for j in range(3)]
-    total = lambda f: reduce(lambda a, b: a + b, [v * f(i, j) for i, j, v in cells])
-    return total(lambda i, j: x[i] * x[j] - y[i] * y[j]), total(lambda i, j: x[i] * y[j] + y[i] * x[j])
+    """Responses (plus, cross) of a detector: its tensor along the sky's east and north at the source, turned by the polarization.
+
+    Towards the source, e points east and n north; the tensor has D(e, e), D(n, n) and
+    D(e, n) there, and a turn by psi mixes half their difference with the last.
+    """
+    d = tensor(site)
+    lon = ra - sidereal
+    e = (-F.sin(lon), F.cos(lon), F.lit(0.0))
+    n = (-F.sin(dec) * F.cos(lon), -F.sin(dec) * F.sin(lon), F.cos(dec))
+    along = lambda a, b: reduce(lambda x, y: x + y, [d[i][j] * a[i] * b[j] for i in range(3) for j in range(3)])
+    level, slant = along(e, e) - along(n, n), 2 * along(e, n)
+    return F.cos(2 * psi) * level - F.sin(2 * psi) * slant, -F.sin(2 * psi) * level - F.cos(2 * psi) * slant
 
 
 def delay_from_centre(site: str, ra, dec, sidereal) -> Column:

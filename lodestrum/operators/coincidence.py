@@ -38,16 +38,39 @@ def slide_coincidence(a: DataFrame, b: DataFrame, w: int, step: int, *keys: str)
     return j.select(*keys, "a_id", "a_t", "a_stat", "b_id", "b_t", "b_stat", F.round((F.col("a_t") - F.col("b_t")) / step).cast("long").alias("slide"))
 
 
-def with_third(pairs: DataFrame, c: DataFrame, w: int, *keys: str) -> DataFrame:
-    """Each pair with the first event of c, by (t, id), that lies in the windows of both members."""
-    lo, hi = F.greatest("a_t", "b_t") - w, F.least("a_t", "b_t") + w
+def with_next(found: DataFrame, events: DataFrame, w: int, letters: str, *keys: str) -> DataFrame:
+    """Coincidences of the detectors letters[:-1] with the first event, by (t, id), that lies in the windows of all; its columns bear the last letter."""
+    new = letters[-1]
+    times = [F.col(f"{x}_t") for x in letters[:-1]]
+    lo, hi = F.greatest(*times) - w, F.least(*times) + w
     width = 2 * w
-    left = pairs.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi")
+    left = found.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi")
     left = left.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
-    right = c.select(*keys, F.struct("t", "id", "stat").alias("c"), F.floor(F.col("t") / width).alias("_b"))
-    j = left.join(right, [*keys, "_b"]).where((F.col("c.t") >= F.col("_lo")) & (F.col("c.t") < F.col("_hi")))
-    g = j.groupBy(*keys, "a_id", "a_t", "a_stat", "b_id", "b_t", "b_stat").agg(F.min("c").alias("c"))
-    return g.select("*", F.col("c.id").alias("c_id"), F.col("c.t").alias("c_t"), F.col("c.stat").alias("c_stat")).drop("c")
+    right = events.select(*keys, F.struct("t", "id", "stat").alias("_c"), F.floor(F.col("t") / width).alias("_b"))
+    j = left.join(right, [*keys, "_b"]).where((F.col("_c.t") >= F.col("_lo")) & (F.col("_c.t") < F.col("_hi")))
+    g = j.groupBy(*found.columns).agg(F.min("_c").alias("_c"))
+    return g.select("*", *[F.col(f"_c.{c}").alias(f"{new}_{c}") for c in ("id", "t", "stat")]).drop("_c")
+
+
+def with_third(pairs: DataFrame, c: DataFrame, w: int, *keys: str) -> DataFrame:
+    """Each pair with the first event of c, by (t, id), that lies in the windows of both members."""
+    return with_next(pairs, c, w, "abc", *keys)
+
+
+def multi_coincidence(events: list[DataFrame], w: int, *keys: str) -> DataFrame:
+    """Coincidences of any number of detectors: pairs of the first two, then one detector at a time; columns a_, b_, c_ and so on."""
+    out = time_coincidence(events[0], events[1], w, *keys)
+    for n, e in enumerate(events[2:], 3):
+        out = with_next(out, e, w, "abcdefghijklmnop"[:n], *keys)
+    return out
+
+
+def members(found: DataFrame, events: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """found with the columns of each detector's trigger, by <detector>_id; nulls where there is none."""
+    for x, e in events.items():
+        got = e.select(F.col("id").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+        found = found.join(got, f"{x}_id", "left")
+    return found
 
 
 def found_once(injections: DataFrame, events: DataFrame, w: int) -> DataFrame:

@@ -5,34 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import BLOCK, block_of
 
-def coalesce(iv: DataFrame, *keys: str) -> DataFrame:
-    """Union of overlapping or touching intervals of each key, as maximal intervals; empty ones vanish."""
-    by = Window.partitionBy(*keys).orderBy("start", "end")
+
+def _clipped(iv: DataFrame, block: int) -> DataFrame:
+    """The parts of non-empty intervals in each block of time they touch, with the block _b."""
     d = iv.where(F.col("start") < F.col("end"))
+    d = d.withColumn("_b", F.explode(F.sequence(block_of(F.col("start"), block), block_of(F.col("end") - 1, block))))
+    return d.withColumns({"start": F.greatest(F.col("start"), F.col("_b") * block), "end": F.least(F.col("end"), (F.col("_b") + 1) * block)})
+
+
+def _merged(d: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    by = Window.partitionBy(*keys).orderBy("start", "end")
     d = d.withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.withColumn("run", F.sum((F.coalesce(F.col("start") > F.col("reach"), F.lit(True))).cast("int")).over(by))
     return d.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
-def _swept(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Elementary pieces between borders, with how many intervals of a and b cover each: one window, no pairs."""
+def _across(pieces: DataFrame, keys: tuple[str, ...], block: int) -> DataFrame:
+    """Pieces (keys, _b, start, end) maximal within their blocks, put together where they touch across a border.
+
+    Two pieces of a block at most lie at its borders; only those are looked at beyond it.
+    """
+    border = (F.col("start") == F.col("_b") * block) | (F.col("end") == (F.col("_b") + 1) * block)
+    at = pieces.where(border).drop("_b").withColumn("_all", F.lit(0))
+    return pieces.where(~border).select(*keys, "start", "end").union(_merged(at, (*keys, "_all")).select(*keys, "start", "end"))
+
+
+def coalesce(iv: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
+    """Union of overlapping or touching intervals of each key, as maximal intervals; empty ones vanish."""
+    return _across(_merged(_clipped(iv.select(*keys, "start", "end"), block), (*keys, "_b")), keys, block)
+
+
+def _swept(a: DataFrame, b: DataFrame, keys: tuple[str, ...], block: int) -> DataFrame:
+    """Elementary pieces between borders, with how many intervals of a and b cover each: a window for each block, no pairs."""
 
     def borders(d, side):
         step = lambda at, v: F.struct(F.col(at).alias("at"), F.lit(v if side == "a" else 0).alias("a"), F.lit(v if side == "b" else 0).alias("b"))
-        return coalesce(d, *keys).select(*keys, F.explode(F.array(step("start", 1), step("end", -1))).alias("x")).select(*keys, "x.*")
+        d = _merged(_clipped(d.select(*keys, "start", "end"), block), (*keys, "_b"))
+        return d.select(*keys, "_b", F.explode(F.array(step("start", 1), step("end", -1))).alias("x")).select(*keys, "_b", "x.*")
 
-    s = borders(a, "a").union(borders(b, "b")).groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    by = Window.partitionBy(*keys).orderBy("at")
-    return s.select(*keys, F.col("at").alias("start"), F.lead("at").over(by).alias("end"), F.sum("a").over(by).alias("a"), F.sum("b").over(by).alias("b"))
+    s = borders(a, "a").union(borders(b, "b")).groupBy(*keys, "_b", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    by = Window.partitionBy(*keys, "_b").orderBy("at")
+    return s.select(*keys, "_b", F.col("at").alias("start"), F.lead("at").over(by).alias("end"), F.sum("a").over(by).alias("a"), F.sum("b").over(by).alias("b"))
 
 
-def intersect(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    return coalesce(_swept(a, b, keys).where("a > 0 and b > 0").select(*keys, "start", "end"), *keys)
+def intersect(a: DataFrame, b: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
+    both = _swept(a, b, keys, block).where("a > 0 and b > 0").select(*keys, "_b", "start", "end")
+    return _across(_merged(both, (*keys, "_b")), keys, block)
 
 
-def subtract(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    return coalesce(_swept(a, b, keys).where("a > 0 and b = 0").select(*keys, "start", "end"), *keys)
+def subtract(a: DataFrame, b: DataFrame, *keys: str, block: int = BLOCK) -> DataFrame:
+    left = _swept(a, b, keys, block).where("a > 0 and b = 0").select(*keys, "_b", "start", "end")
+    return _across(_merged(left, (*keys, "_b")), keys, block)
 
 
 def live_time(iv: DataFrame, *keys: str) -> DataFrame:
@@ -54,3 +79,16 @@ def mark(points: DataFrame, iv: DataFrame, bucket: int, *keys: str) -> DataFrame
     both = both.unionByName(marks, allowMissingColumns=True)
     both = both.withColumn("inside", F.coalesce(F.max("_end").over(by) > F.col("t"), F.lit(False)))
     return both.where("_p = 1").drop("_b", "_end", "_at", "_p")
+
+
+def most_shared(a: DataFrame, b: DataFrame, *keys: str, block: int = 3600 * 1_000_000) -> DataFrame:
+    """Intervals of a (id, start, end) with the interval of b that shares most time: other (its id) and shared; the first in time of equals.
+
+    Both are dealt to the blocks they touch; a pair that meets in several is looked at in the first. Intervals of a without one have no row.
+    """
+    deal = lambda d, x: d.select(*keys, F.struct("id", "start", "end").alias(x), F.explode(F.sequence(block_of(F.col("start"), block), block_of(F.col("end") - 1, block))).alias("_b"))
+    j = deal(a, "a").join(deal(b, "b"), [*keys, "_b"])
+    lo, hi = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
+    j = j.where((lo < hi) & (F.col("_b") == block_of(lo, block)))
+    best = F.max_by(F.struct("b.id", (hi - lo).alias("shared")), F.struct((hi - lo), -F.col("b.start"), -F.col("b.id")))
+    return j.groupBy(*keys, "a").agg(best.alias("x")).select(*keys, F.col("a.id").alias("id"), F.col("x.id").alias("other"), F.col("x.shared").alias("shared"))

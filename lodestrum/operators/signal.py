@@ -31,30 +31,64 @@ def power_spectrum(d: DataFrame, column: str, keep: list[str], dt: float = 1.0)
     return _rows(d, column, "psd array<double>", f, keep)
 
 
+def median_bias(n: int) -> float:
+    """Expected median of n periodograms over their mean."""
+    return sum((-1) ** k / (k + 1) for k in range(n if n % 2 else n - 1)) if n < 1000 else float(np.log(2))
+
+
 def welch(d: DataFrame, column: str, keep: list[str], size: int, stride: int, average: str = "median", dt: float = 1.0) -> DataFrame:
-    """Average of Hann-windowed periodograms of overlapping segments; the median is corrected for its bias."""
-    win = np.hanning(size + 1)[:-1]
+    """Average of Hann-windowed periodograms of overlapping segments; the median is corrected for its bias.
+
+    Samples beyond the last whole segment are left out in equal parts at both ends (the odd
+    one at the start). The first and the last bin hold half the power. average: mean, median, median-mean.
+    """
+    win = np.hanning(size)
 
     def f(x: np.ndarray) -> pd.DataFrame:
-        at = range(0, x.shape[1] - size + 1, stride)
-        s = np.stack([np.abs(np.fft.rfft(x[:, a : a + size] * win, axis=1)) ** 2 for a in at], axis=1) * 2 * dt / (win**2).sum()
-        n = s.shape[1]
-        bias = sum((-1) ** k / (k + 1) for k in range(n if n % 2 else n - 1)) if n < 1000 else np.log(2)
-        p = s.mean(axis=1) if average == "mean" else np.median(s, axis=1) / bias
+        n = x.shape[1] // stride
+        n -= (n - 1) * stride + size > x.shape[1]
+        spare = x.shape[1] - (n - 1) * stride - size
+        x = x[:, (spare + 1) // 2 :]
+        s = np.stack([np.abs(np.fft.rfft(x[:, a : a + size] * win, axis=1)) ** 2 for a in range(0, n * stride, stride)], axis=1) * 2 * dt / (win**2).sum()
+        s[:, :, [0, -1]] /= 2
+        median = lambda y: np.median(y, axis=1) / median_bias(y.shape[1])
+        p = {"mean": lambda: s.mean(axis=1), "median": lambda: median(s), "median-mean": lambda: (median(s[:, ::2]) + median(s[:, 1::2])) / 2}[average]()
         return pd.DataFrame({"psd": list(p)})
 
     return _rows(d, column, "psd array<double>", f, keep)
 
 
-def matched_filter(d: DataFrame, column: str, template: np.ndarray, keep: list[str]) -> DataFrame:
-    """Magnitude of the complex matched filter against a template in white noise: peak and its place."""
-    t = np.fft.fft(template)
+def cutoffs(low: float | None, high: float | None, n: int, df: float) -> tuple[int, int]:
+    """Bins [first, last) of a filter over n samples: without the mean, the Nyquist bin and what lies beyond the cutoffs."""
+    first = int(low / df) if low else 1
+    last = min(int(high / df), (n + 1) // 2) if high else (n + 1) // 2
+    if first >= last:
+        raise ValueError("no bin between the cutoffs")
+    return first, last
+
+
+def sigmasq(template: np.ndarray, psd: np.ndarray | None = None, low: float | None = None, high: float | None = None, dt: float = 1.0) -> float:
+    """Inner product of a time-domain template with itself over the spectrum."""
+    n = len(template)
+    t, df = np.fft.rfft(template) * dt, 1 / (n * dt)
+    a, b = cutoffs(low, high, n, df)
+    return float(4 * df * (np.abs(t[a:b]) ** 2 / (1 if psd is None else psd[a:b])).sum())
+
+
+def matched_filter(d: DataFrame, column: str, template: np.ndarray, keep: list[str], psd: np.ndarray | None = None, low: float | None = None, high: float | None = None, dt: float = 1.0) -> DataFrame:
+    """Magnitude of the complex signal-to-noise series against a template over a spectrum (none: white of 1): peak and its place.
+
+    Bins run from low (else the first above the mean) to below high (else the Nyquist bin).
+    """
     n = len(template)
-    t[n // 2 + 1 :] = 0
-    sigma = np.sqrt(4 / n * (np.abs(t) ** 2).sum())
+    df = 1 / (n * dt)
+    a, b = cutoffs(low, high, n, df)
+    norm = 4 * df / np.sqrt(sigmasq(template, psd, low, high, dt))
+    weight = np.zeros(n, complex)
+    weight[a:b] = (np.fft.rfft(template) * dt)[a:b].conj() / (1 if psd is None else psd[a:b])
 
     def f(x: np.ndarray) -> pd.DataFrame:
-        z = 4 * np.abs(np.fft.ifft(np.fft.fft(x, axis=1) * t.conj(), axis=1)) / sigma
+        z = norm * n * np.abs(np.fft.ifft(np.fft.fft(x, axis=1) * dt * weight, axis=1))
         return pd.DataFrame({"peak": z.max(axis=1), "at": z.argmax(axis=1).astype(np.int32)})
 
     return _rows(d, column, "peak double, at int", f, keep)

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def count_louder(fg: DataFrame, bg: DataFrame, *keys: str) -> DataFrame:
-    """fg (id, stat) with louder, the summed weight of bg (stat, weight) at or above stat.
+    """fg (id, stat) with louder, the summed weight of bg (stat, weight) at or above stat; null without background.
 
-    If no background lies below, its quietest value is left out of the sum, as the
-    estimate's clamp has it. Background is first summed by value, then one ordered pass
-    carries the running weight to the foreground: no pairs, no sort of duplicates.
+    If no background lies below, one row of the quietest background, that of least weight,
+    is left out of the sum. A NaN in the background counts as quieter than all. Background
+    and foreground are first reduced to distinct values; sums run within bins of values.
     """
-    b = bg.groupBy(*keys, "stat").agg(F.sum("weight").alias("weight"))
-    u = fg.select(*keys, "id", "stat", F.lit(0.0).alias("weight"), F.lit(1).alias("_f"))
-    v = b.select(*keys, F.lit(None).cast("bigint").alias("id"), "stat", F.col("weight").cast("double"), F.lit(0).alias("_f"))
-    by = Window.partitionBy(*keys).orderBy(F.desc("stat"), "_f")
-    d = u.union(v)
-    d = d.withColumn("louder", F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    low = b.groupBy(*keys).agg(F.min(F.struct("stat", "weight")).alias("low"))
-    d = d.where("_f = 1")
-    d = d.join(low, list(keys), "left") if keys else d.join(F.broadcast(low), F.lit(True), "left")  # one row
-    clamp = F.when(F.col("stat") <= F.col("low.stat"), F.col("low.weight")).otherwise(0.0)
-    return d.select(*keys, "id", "stat", (F.col("louder") - F.coalesce(clamp, F.lit(0.0))).alias("louder"))
+    b = bg.select(*keys, F.when(F.isnan("stat"), F.lit(float("-inf"))).otherwise(F.col("stat")).alias("stat"), F.col("weight").cast("double").alias("weight"))
+    v = b.groupBy(*keys, "stat").agg(F.sum("weight").alias("weight"), F.min("weight").alias("_one"))
+    low = v.groupBy(*keys).agg(F.min(F.struct("stat", "_one")).alias("_low"))
+    u = v.select(*keys, "stat", "weight").union(fg.select(*keys, "stat", F.lit(0.0).alias("weight"))).groupBy(*keys, "stat").agg(F.sum("weight").alias("weight"))
+    total = ordered.sum_from_top(u, "stat", "weight", *keys).select(*keys, "stat", "total")
+    if keys:
+        total = total.join(low, list(keys), "left")
+    else:
+        r = low.first()["_low"]  # one row
+        total = total.withColumn("_low", F.struct(F.lit(r["stat"] if r else None).cast("double").alias("stat"), F.lit(r["_one"] if r else None).cast("double").alias("_one")))
+    clamp = F.when(F.col("stat") <= F.col("_low.stat"), F.col("_low._one")).otherwise(0.0)
+    total = total.select(*keys, "stat", F.when(F.col("_low.stat").isNotNull(), F.col("total") - clamp).alias("louder"))
+    return fg.select(*keys, "id", "stat").join(total, [*keys, "stat"], "left").select(*keys, "id", "stat", "louder")
 
 
 def far(louder, live, exact: bool = True):

@@ -7,11 +7,10 @@ value the statistic, times are whole microseconds.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as L
-from ..operators import clustering, coincidence, diagnostics, intervals, signal, significance
+from ..operators import clustering, coincidence, diagnostics, intervals, ordered, signal, significance
 from ..sources import tables as T
 from ..streaming import coincidence as live
 
@@ -53,11 +52,20 @@ _SNR, _RC = "(l_extendedprice / 10000)", "(l_quantity / 10)"
 _NEW = f"CASE WHEN {_RC} > 1 THEN {_SNR} * pow(0.5 * (1 + pow({_RC}, 3)), -1.0 / 6) ELSE {_SNR} END"
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, round({_NEW}, 6) AS newsnr, round({_SNR} / pow({_RC} * (1 + {_SNR} * {_SNR} / 250), 0.25), 6) AS effsnr,
-round(CASE WHEN l_tax * 100 > 4 THEN ({_NEW}) / sqrt(l_tax * 100 / 4) ELSE {_NEW} END, 6) AS newsnr_sg, round(({_NEW}) / pow(0.65 + l_tax, 0.33), 6) AS scaled FROM lineitem""")
+_SG, _VAR = "(l_tax * 100)", "(l_tax * 20)"
+_V = f"(CASE WHEN {_VAR} < 0.65 THEN 1.0 ELSE {_VAR} END)"
+_SGV = f"(({_NEW}) / CASE WHEN {_SG} > 4 THEN sqrt({_SG} / 4) ELSE 1 END)"
+_RCV = f"({_RC} / {_V})"
+_PSD = f"({_SNR} / sqrt({_V}) * CASE WHEN {_RCV} > 1 THEN pow(0.5 * (1 + pow({_RCV}, 3)), -1.0 / 6) ELSE 1 END / CASE WHEN {_SG} > 4 THEN sqrt({_SG} / 4) ELSE 1 END)"
+_SCALED = f"({_SGV} / pow({_V}, 0.33))"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round({_SNR} / pow({_RC} * (1 + {_SNR} * {_SNR} / 250), 0.25), 6) AS effsnr, round({_SNR}, 6) AS snr, round({_NEW}, 6) AS newsnr, round({_NEW}, 6) AS new_snr, round({_SGV}, 6) AS newsnr_sgveto,
+ round({_PSD}, 6) AS newsnr_sgveto_psdvar, round(CASE WHEN {_RC} > 10 OR {_VAR} > 10 THEN 1 ELSE {_PSD} END, 6) AS newsnr_sgveto_psdvar_threshold, round({_SCALED}, 6) AS newsnr_sgveto_psdvar_scaled, round(CASE WHEN {_RC} > 2 THEN 1 ELSE {_SCALED} END, 6) AS newsnr_sgveto_psdvar_scaled_threshold FROM lineitem""")
 def single_rankings(spark, d):
     s, x = F.col("l_extendedprice") / 10000, F.col("l_quantity") / 10
-    return T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(L.newsnr(s, x)).alias("newsnr"), r(L.effective_snr(s, x)).alias("effsnr"), r(L.newsnr_sg(s, x, F.col("l_tax") * 100)).alias("newsnr_sg"), r(L.newsnr_psdvar_scaled(s, x, 0.65 + F.col("l_tax"))).alias("scaled"))
+    named = [r(L.ranking(n, s, x, F.col("l_tax") * 100, F.col("l_tax") * 20)).alias(n) for n in L.RANKINGS]
+    return T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(L.effective_snr(s, x)).alias("effsnr"), *named)
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size + 1.0::DOUBLE AS m1, p_retailprice / 100 AS m2 FROM part), e AS (SELECT *, m1 * m2 / ((m1 + m2) * (m1 + m2)) AS eta FROM p)
@@ -211,7 +219,7 @@ _BG = f"(SELECT sqrt(a_stat * a_stat + b_stat * b_stat) AS stat, slide, tid, a_i
 
 
 @query(f"""WITH x AS (SELECT * FROM {_BG}), b AS (SELECT stat FROM x WHERE slide <> 0), f AS (SELECT * FROM x WHERE slide = 0), m AS (SELECT min(stat) AS lo FROM b)
-SELECT a_id, b_id, round(stat, 6) AS stat, n::DOUBLE AS louder, round((n + 1) * 31557600.0 / 2592000 / 29, 6) AS far FROM (SELECT f.*, (SELECT count(*) FROM b WHERE b.stat >= f.stat) - CASE WHEN stat <= (SELECT lo FROM m) THEN (SELECT count(*) FROM b, m WHERE b.stat = m.lo) ELSE 0 END AS n FROM f)""")
+SELECT a_id, b_id, round(stat, 6) AS stat, n::DOUBLE AS louder, round((n + 1) * 31557600.0 / 2592000 / 29, 6) AS far FROM (SELECT f.*, (SELECT count(*) FROM b WHERE b.stat >= f.stat) - CASE WHEN stat <= (SELECT lo FROM m) THEN 1 ELSE 0 END AS n FROM f)""")
 def coincidence_far(spark, d):
     """Zero-lag coincidences with the rate of louder time-slid ones, per year."""
     x = _slides(spark, d).withColumn("stat", L.quadrature(F.col("a_stat"), F.col("b_stat"))).withColumn("id", F.col("a_id") * 1_000_000_000 + F.col("b_id"))
@@ -221,7 +229,7 @@ def coincidence_far(spark, d):
 
 
 @query("""WITH b AS (SELECT k, stat FROM {T} WHERE id % 5 <> 0), f AS (SELECT k, id, stat FROM {T} WHERE id % 5 = 0), m AS (SELECT k, min(stat) AS lo FROM b GROUP BY k)
-SELECT f.k, id, f.stat, (SELECT count(*) FROM b WHERE b.k = f.k AND b.stat >= f.stat)::DOUBLE - CASE WHEN f.stat <= lo THEN (SELECT count(*) FROM b WHERE b.k = f.k AND b.stat = lo) ELSE 0 END AS louder FROM f LEFT JOIN m ON m.k = f.k""")
+SELECT f.k, id, f.stat, (SELECT count(*) FROM b WHERE b.k = f.k AND b.stat >= f.stat)::DOUBLE - CASE WHEN f.stat <= lo THEN 1 ELSE 0 END AS louder FROM f LEFT JOIN m ON m.k = f.k""")
 def louder_background(spark, d):
     t = T.triggers(spark, d)
     return significance.count_louder(t.where("id % 5 = 0"), t.where("id % 5 <> 0").withColumn("weight", F.lit(1.0)), "k")
@@ -272,14 +280,21 @@ def kl_divergence(spark, d):
     return diagnostics.kl_divergence(h.where("k = 'click'"), h.where("k = 'view'")).select(r(F.col("kl")).alias("kl"))
 
 
-@query("SELECT round(sqrt(((n - 1) / n * w + b) / w), 6) AS psrf FROM (SELECT avg(v) AS w, var_samp(m) AS b, avg(n) AS n FROM (SELECT k, avg(stat) AS m, var_samp(stat) AS v, count(*)::DOUBLE AS n FROM {T} GROUP BY k))")
+@query("""WITH c AS (SELECT id % 4 AS c, avg(stat) AS m, var_samp(stat) AS v, count(*)::DOUBLE AS n FROM {T} WHERE id // 4 >= 100 GROUP BY 1),
+ g AS (SELECT avg(n) AS n, count(*)::DOUBLE AS k, avg(v) AS w, avg(n) * var_samp(m) AS b, avg(m) AS mu, var_pop(v) AS s, covar_samp(v, m * m) AS c2, covar_samp(v, m) AS c1 FROM c),
+ h AS (SELECT *, (n - 1) * w / n + (1 + 1 / k) * b / n AS big, (pow(n - 1, 2) * s + pow(1 + 1 / k, 2) * 2 * b * b / (k - 1) + 2 * (n - 1) * (1 + 1 / k) * n / k * (c2 - 2 * mu * c1)) / (n * n) AS var FROM g)
+ SELECT round(sqrt(((n - 1) / n + (1 + 1 / k) / n * b / w) * (2 * big * big / var + 3) / (2 * big * big / var + 1)), 6) AS psrf FROM h""")
 def gelman_rubin(spark, d):
-    return diagnostics.gelman_rubin(T.triggers(spark, d), "k", "stat").select(r(F.col("psrf")).alias("psrf"))
+    """Four chains, the first hundred samples of each left out."""
+    x = T.triggers(spark, d).where("id >= 400").withColumn("chain", F.col("id") % 4)
+    return diagnostics.gelman_rubin(x, "chain", "stat").select(r(F.col("psrf")).alias("psrf"))
 
 
-@query("SELECT k, round((avg(stat) FILTER (p < 0.1) - avg(stat) FILTER (p >= 0.5)) / sqrt(var_samp(stat) FILTER (p < 0.1) + var_samp(stat) FILTER (p >= 0.5)), 6) AS z FROM (SELECT *, percent_rank() OVER (PARTITION BY k ORDER BY t) AS p FROM {T}) GROUP BY k")
+@query("""WITH x AS (SELECT id % 4 AS c, id // 4 AS i, stat FROM {T}), e AS (SELECT c, avg(stat) AS m, var_pop(stat) AS v FROM x WHERE i >= 125 GROUP BY c)
+ SELECT c, s AS "start", round((avg(x.stat) - max(e.m)) / sqrt(var_pop(x.stat) + max(e.v)), 6) AS z FROM x JOIN e USING (c) JOIN range(0, 100, 10) g(s) ON i >= s AND i < s + 20 GROUP BY c, s""")
 def geweke(spark, d):
-    return diagnostics.geweke(T.triggers(spark, d), "t", "stat", "k").select("k", r(F.col("z")).alias("z"))
+    x = T.triggers(spark, d).select((F.col("id") % 4).alias("c"), F.floor(F.col("id") / 4).alias("i"), "stat")
+    return diagnostics.geweke(x, "i", "stat", 20, 10, 100, 125, "c").select("c", "start", r(F.col("z")).alias("z"))
 
 
 @query("SELECT k, round(ln(avg(exp(-stat / 100 - hi))) + hi, 6) AS arithmetic, round(lo - ln(avg(exp(lo + stat / 100))), 6) AS harmonic FROM (SELECT *, max(-stat / 100) OVER (PARTITION BY k) AS hi, min(-stat / 100) OVER (PARTITION BY k) AS lo FROM {T}) GROUP BY k, hi, lo")
@@ -310,7 +325,11 @@ def union_missing(spark, d):
 
 @query("SELECT p_partkey, p_size, ntile(8) OVER (ORDER BY p_size, p_partkey) AS split FROM part")
 def split_bank(spark, d):
-    return T.read(spark, d, "part").select("p_partkey", "p_size", F.ntile(8).over(Window.orderBy("p_size", "p_partkey")).alias("split"))
+    """Eight parts of nearly equal size in order; the first ones hold one more."""
+    p = ordered.numbered(T.read(spark, d, "part").select("p_partkey", "p_size"), "p_size", "p_partkey", shared=T.new_path(spark, "split"))
+    n, small, more = F.col("_n") - 1, F.floor(F.col("_rows") / 8), F.col("_rows") % 8
+    split = F.when(n < more * (small + 1), F.floor(n / (small + 1))).otherwise(more + F.floor((n - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return p.select("p_partkey", "p_size", (split + 1).alias("split"))
 
 
 # --- packed series ------------------------------------------------------------------------

@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrum.plans import catalog, extended  # noqa: F401 (registers its queries in catalog)
+from lodestrum.plans import catalog, extended, selection  # noqa: F401 (they register their queries in catalog)
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
