@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset in local mode (one machine, as in tests) a temporary
+    folder is made and set; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lodestrum-")
         shared_dir.own = found
         spark.sparkContext.setCheckpointDir(found)
@@ -52,6 +56,12 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs under names of our own (and those names), so that no name of theirs clashes with a working column."""
+    names = [f"_own_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def words(text: Column) -> Column:
     """Words of a text between white space; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")

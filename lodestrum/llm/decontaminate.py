@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 RATE = 0.08
 #: No more edits than this share would leave pieces of this length.
 LEAST_PIECE = 12
-#: Shorter items (normalised) occur by chance in clean text and are not looked for.
-LEAST_ITEM = 32
 #: Characters of benchmark text in one automaton; a larger benchmark is worked through in blocks of this size.
 BLOCK_CHARS = 4_000_000
 
@@ -104,6 +102,11 @@ class Matcher:
                 item_id, t, k, masks = self.items[n]
                 if n in best and best[n][0] == 0:
                     continue
+                if not k:
+                    # The piece is the item; short ones must stand as whole words.
+                    if (last + 1 == size or text[last - size] == " ") and text[last + 1 : last + 2] in ("", " "):
+                        best[n] = (0, last + 1)
+                    continue
                 lo = max(0, last + 1 - size - at - k)
                 # Windows of one item come in rising order; one that starts where the last started is done.
                 if seen.get(n) == lo:
@@ -118,10 +121,11 @@ class Matcher:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, distance, start, end): each item found in each row of docs.
 
-    Null and empty texts hold nothing; null or short items are not looked for;
-    repeated items each report, repeated rows of docs each report. Either table may
-    be empty. The benchmark is taken in blocks of BLOCK_CHARS, each shipped with
-    the task that scans the documents, so neither driver nor task holds more.
+    Null and empty texts hold nothing; null and empty items are not looked for; an item
+    too short for an edit (budget) must stand as it is, as whole words. Repeated items
+    each report, repeated rows of docs each report. Either table may be empty. The
+    benchmark is taken in blocks of BLOCK_CHARS, each shipped with the task that scans
+    the documents, so neither driver nor task holds more.
     """
     spark = docs.sparkSession
     b = benchmark.select("item_id", "text").where("text is not null")
@@ -141,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block, size = [], 0
     for r in b.toLocalIterator():
         t = normalise(r["text"])
-        if len(t) < LEAST_ITEM:
+        if not t:
             continue
         block.append((r["item_id"], t))
         size += len(t)

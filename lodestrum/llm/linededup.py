@@ -77,8 +77,8 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, LINE)
 
 
-def suffix_ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank the classes (a, b) that hold two rows or more: columns a, b, rank.
+def suffix_ranks(rows: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Rank the classes (a, b) that hold two rows or more: columns a, b, rank; and the table to drop when that has been read.
 
     rank is the number of suffixes in lesser classes, the start of the class's
     interval. The classes are range-partitioned and sorted; each task adds up
@@ -95,14 +95,15 @@ def suffix_ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
             before = int(upto[-1]) if len(upto) else before
 
     d = n.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn("part", F.spark_partition_id())
-    d = C.table(d.mapInArrow(place, f"{a} long, {b} long, n long, part int, rank long"), "ranks")
+    held = C.table(d.mapInArrow(place, f"{a} long, {b} long, n long, part int, rank long"), "ranks")
     shift, total = {}, 0
-    for r in d.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each task
+    for r in held.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each task
         shift[r["part"]], total = total, total + r["n"]
+    d = held
     if len(shift) > 1:
         add = d.sparkSession.createDataFrame(list(shift.items()), "part int, shift long")
         d = d.join(F.broadcast(add), "part").withColumn("rank", F.col("rank") + F.col("shift"))
-    return d.select(a, b, "rank")
+    return d.select(a, b, "rank"), held
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -112,8 +113,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeats one run back to back, each copy after the first is a later one.
     """
     lines = C.table(_lines(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words), "lines")
-    ranks = suffix_ranks(lines, "h1", "h2")
+    ranks, held = suffix_ranks(lines, "h1", "h2")
     step = C.table(lines.join(ranks, ["h1", "h2"]).select("rid", "seq", "rank"), "suffixes")
+    C.drop(held)
+    read = [lines, step]
     want = lines.select("rid", "doc_id", F.explode(F.array_distinct(F.array(F.struct(F.col("seq"), F.col("fore").alias("size")), F.struct((F.col("seq") - F.col("back") + 1).alias("seq"), F.col("back").alias("size"))))).alias("x"))
     want = want.select("rid", "doc_id", "x.seq", "x.size").where("size > 0").distinct()
     found, k = None, 0
@@ -128,38 +131,48 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             break
         pair = step.join(step.select("rid", (F.col("seq") - wide).alias("seq"), F.col("rank").alias("tail")), ["rid", "seq"])
         pair = C.table(pair.select("rid", "seq", F.col("rank").alias("head"), "tail"), "pairs")
-        step = C.table(pair.join(suffix_ranks(pair, "head", "tail"), ["head", "tail"]).select("rid", "seq", "rank"), "suffixes")
+        ranks, held = suffix_ranks(pair, "head", "tail")
+        step = C.table(pair.join(ranks, ["head", "tail"]).select("rid", "seq", "rank"), "suffixes")
+        read.append(step)
+        C.drop(held)
+        C.drop(pair)
         k += 1
         if step.isEmpty():
             break
     found = C.table(found, "runs")
+    for t in read:
+        C.drop(t)
     place = F.struct("doc_id", "rid", "seq")
+    # A table of its own, so that a class of very many runs can be split in the join.
     first = found.groupBy("size", "rank", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return found.join(first, ["size", "rank", "tail"]).where(place != F.col("first")).select("rid", "seq", "size")
+    first = C.table(first, "first-runs")
+    return found.join(first, ["size", "rank", "tail"]).where(place != F.col("first")).select("rid", "seq", F.col("size").cast("int").alias("size"))
 
 
 def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
     """docs with later copies of repeated runs deleted from text, plus n_lines and n_deleted.
 
-    Columns of docs are kept (an n_lines or n_deleted of its own is replaced); n_lines counts
+    Columns of docs are kept, whatever their names; where docs has an n_lines or n_deleted
+    of its own, ours gets as many "_" before it as make it new. n_lines counts
     lines with a word. Lines that stay, blank ones too, stay as they were. A null
     text stays null. Texts are taken by doc_id, so a repeated row is a later copy
     and loses its runs; runs under min_words words stay. A text whose lines
     were all deleted stays with no line, or its row goes if drop_emptied.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("rid", "runs", "n_lines", "n_deleted")])
-    d = C.table(docs.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    runs = repeated_runs(d.select("rid", "doc_id", "text"), min_words)
+    own = docs.columns
+    d, names = C.renamed(docs)
+    text, doc_id = names[own.index("text")], names[own.index("doc_id")]
+    d = C.table(d.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    runs = repeated_runs(d.select("rid", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), min_words)
     # Groups of one row of docs: at most two runs for each of its lines.
     runs = runs.groupBy("rid").agg(F.collect_list(F.struct("seq", "size")).alias("runs"))
     j = d.join(runs, "rid", "left")
     out = d.drop("rid").schema.add("n_lines", "integer").add("n_deleted", "integer")
-    names = [f.name for f in out]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             texts, n, gone = [], [], []
-            for t, runs in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
+            for t, runs in zip(b.column(text).cast(pa.binary()).to_pylist(), b.column("runs").to_pylist(), strict=True):
                 lines = (t or b"").split(b"\n")
                 held = [i for i, x in enumerate(lines) if x and (x[0] > 32 or x.split())]
                 dead: set[int] = set()
@@ -169,8 +182,13 @@ def delete_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, drop_empti
                 n.append(len(held))
                 gone.append(len(dead))
             n, gone = np.array(n, np.int32), np.array(gone, np.int32)
-            made = {"text": pa.array(texts, pa.binary()).view(pa.string()), "n_lines": pa.array(n), "n_deleted": pa.array(gone)}
-            b = pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in names], names=names)
+            made = {text: pa.array(texts, pa.binary()).view(pa.string()), "n_lines": pa.array(n), "n_deleted": pa.array(gone)}
+            b = pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in out.names], names=out.names)
             yield b.filter(pa.array((gone == 0) | (gone < n))) if drop_emptied else b
 
-    return j.mapInArrow(cut, out)
+    counts = []
+    for c in ("n_lines", "n_deleted"):
+        while c in {x.lower() for x in own}:
+            c = f"_{c}"
+        counts.append(c)
+    return j.mapInArrow(cut, out).toDF(*own, *counts)

@@ -34,19 +34,18 @@ BROADCAST_ROWS = 20_000
 METRICS = list(FENCES)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, lang, source and the base counts.
+def features(docs: DataFrame, carry: list[str] = []) -> DataFrame:
+    """One row per row of docs: doc_id, lang, source, the base counts, and the columns of docs named in carry.
 
     A null or empty text has zero counts and fails the base rule. Other columns
     of docs are not looked at, so their names cannot clash.
     """
     w, n = F.col("w"), F.col("n_words")
-    d = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(*carry, "doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("w", C.words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{C.SPACE}]"))
     d = d.select(
-        "doc_id", "lang", "source", "w",
-        F.xxhash64("text").alias("text_hash"),
+        *carry, "doc_id", "lang", "source", "w",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -129,15 +128,15 @@ def limits(fine: DataFrame) -> DataFrame:
     return own.select("g_lang", "g_source", "docs", (F.col("docs") / (F.col("docs") + PRIOR_DOCS)).alias("own_share"), *cols, low)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """Per row of docs: counts, base_failed, its group's limits, kept.
+def quality_rules(docs: DataFrame, carry: list[str] = []) -> DataFrame:
+    """Per row of docs: counts, base_failed, its group's limits, kept, and the columns of docs named in carry.
 
     Sketches are taken from the documents that pass the base rule, per
     (lang, source); those of a language and of the whole are merges of them.
     Null languages and sources are groups like any other. An empty table gives
     no rows; repeated rows count, and are judged, as often as they occur.
     """
-    f = C.table(measures(features(docs)), "quality")
+    f = C.table(measures(features(docs, carry)), "quality")
     fine = C.table(sketch(f.where(~F.col("base_failed")), "lang", "source"), "quality-sketch")
     per = C.table(limits(fine), "quality-limits")
     right = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per

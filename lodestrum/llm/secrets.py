@@ -30,6 +30,8 @@ WEAK = [
 #: The part that each kind plays in a credential.
 ROLE = {"assign": "secret", "hex": "secret", "secret": "secret", "access": "id", "id": "id", "endpoint": "endpoint"}
 ORDER = [k for k, *_ in (*STRONG, *WEAK)]
+#: Spans gathered before they are put to the others.
+FOLD = 256
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -54,7 +56,13 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
         one = F.array(F.struct(a.alias("start"), F.lit(ORDER.index(kind)).alias("rank"), b.alias("end")))
         return F.struct(b.alias("at"), F.when(x["part"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def fold(acc: Column, block: Column) -> Column:
+        # Spans are gathered in blocks, so that no long list is copied for each span.
+        inner = F.aggregate(F.slice(zipped, block * FOLD + 1, F.lit(FOLD)), F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out")), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))[0]
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / FOLD).cast("int"))
+    found = F.aggregate(blocks, start, fold, lambda acc: acc["out"])
     return F.when(F.regexp_like(text, rx), found).otherwise(F.array().cast(SPAN))
 
 
@@ -81,15 +89,16 @@ def link(p: DataFrame, scope: int = SCOPE) -> DataFrame:
     role = F.array(*[F.lit(ROLE[k]) for k in ORDER])
     e = p.where("size(weak) > 0").select("row", F.explode(F.concat("strong", "weak")).alias("s"))
     e = e.select("row", "s", F.element_at(role, F.col("s.rank") + 1).alias("role"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    by = Window.partitionBy("row").orderBy("start", "s.rank", "end")
-    ahead, behind = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    # The rows ahead, and those behind from the other end: frames that grow by a row at a time.
+    ahead = Window.partitionBy("row").orderBy("start", "s.rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("s.rank"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     near = {}
     for r in ("id", "secret", "endpoint"):
         own = F.col("role") == r
         before = F.max(F.when(own, F.col("end"))).over(ahead)
         after = F.min(F.when(own, F.col("start"))).over(behind)
         near[r] = F.coalesce(F.col("start") - before <= scope, F.lit(False)) | F.coalesce(after - F.col("end") <= scope, F.lit(False))
-    inside = F.coalesce(F.max("end").over(ahead) >= F.col("end"), F.lit(False)) | F.coalesce(F.min(F.when(F.col("s.rank") < len(STRONG), F.col("start"))).over(by.rowsBetween(1, Window.unboundedFollowing)) < F.col("end"), F.lit(False))
+    inside = F.coalesce(F.max("end").over(ahead) >= F.col("end"), F.lit(False)) | F.coalesce(F.min(F.when(F.col("s.rank") < len(STRONG), F.col("start"))).over(behind) < F.col("end"), F.lit(False))
     ok = F.lit(True)
     for r, there in near.items():
         ok = ok & ((F.col("role") == r) | there)

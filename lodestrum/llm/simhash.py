@@ -11,7 +11,8 @@ A band value held by more than HOT fingerprints is dealt out again by four
 12-bit bands of the other 48 bits, which again loses no link.
 
 keep_one looks for texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, and finds every such pair by exact bounds. A text can
+similarity of 0.8 or more. The index links those whose fingerprints are nearly
+equal; what lies beyond its reach is found by exact bounds, so no pair is lost. A text can
 have a partner only if 0.8 of its shingles occur elsewhere, which is counted in
 packed blocks by hash range. In what is left, the shingles are put in one order,
 rare ones first; two near copies share one among the first fifth of each. Pairs
@@ -71,7 +72,11 @@ def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False, seed
     else:
         s = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False))
         s = set(s) if distinct else s
-    h = np.fromiter((h64(x, seed) for x in s), np.uint64)
+    return majority(np.fromiter((h64(x, seed) for x in s), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of 64-bit hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -360,7 +365,7 @@ def _with_partners(texts: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """Rows (node, n, s, sketch): hashes of a text's distinct shingles, how many, and the parity of how many fall on each bit of a sketch."""
+    """Rows (node, n, s, sketch, fp): hashes of a text's distinct shingles, how many, the parity of how many fall on each bit of a sketch, their fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -368,9 +373,10 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
             s = [shingle_hashes(w, seen) for w in _words(b)]
             n = pa.array([len(x) for x in s], pa.int32())
             odd = [np.packbits(np.bincount((x & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).tobytes() for x in s]
-            yield pa.RecordBatch.from_arrays([b.column("_row"), n, pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array(odd, pa.binary())], names=["node", "n", "s", "sketch"])
+            fp = pa.array(np.array([majority(x) for x in s], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("_row"), n, pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array(odd, pa.binary()), fp], names=["node", "n", "s", "sketch", "fp"])
 
-    return docs.select("_row", "text").mapInArrow(run, "node long, n int, s array<long>, sketch binary")
+    return docs.select("_row", "text").mapInArrow(run, "node long, n int, s array<long>, sketch binary, fp long")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -436,17 +442,25 @@ def candidates(posts: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _index_links(fps: DataFrame) -> DataFrame:
+    """Pairs (u > v) of nodes whose fingerprints the index links: each with the least node of its fingerprint, and those with each other."""
+    least = C.table(fps.groupBy("fp").agg(F.min("node").alias("least")), "near-dedup-fps")
+    same = fps.join(least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    near = links(least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    return same.union(near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
 def near_copies(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (node, root) of the components of near copies; texts: _row, text; nodes: node (a _row), one for each distinct text."""
     ends = _with_partners(texts).join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
     sets = C.table(_shingle_sets(texts.join(C.table(ends, "near-dedup-ends"), "_row", "left_semi")), "near-dedup-sets")
     posts = C.table(_rare_first(sets), "near-dedup-posts")
-    # One candidate of each text and shingle first; what those join needs no further check.
+    # The index's links and one candidate of each text and shingle first; what those join needs no further check.
     first = posts.groupBy("key").agg(F.min("node").alias("v"))
     first = posts.join(first, "key").where("node <> v").groupBy("node", "v").agg(F.count("*").alias("c"))
-    first = first.groupBy("node").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select(F.col("node").alias("u"), "v")
+    first = first.groupBy("node").agg(F.max_by("v", F.struct("c", "v")).alias("v")).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v"))
     sets_only = sets.select("node", "s")
-    good = C.table(_checked(first, sets_only), "near-dedup-links")
+    good = C.table(_checked(first.union(_index_links(sets.select("node", "fp"))).distinct(), sets_only), "near-dedup-links")
     root = C.components(good)
     posts = posts.join(sets.select("node", "sketch"), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return C.components(good.union(C.table(_checked(candidates(posts), sets_only), "near-dedup-links")))
@@ -462,11 +476,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     too, are one group. Repeated rows are one group. No rows: no rows.
     """
     own = docs.columns
-    d = docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(own)})
+    d, names = C.renamed(docs)
+    doc_id, text = names[own.index("doc_id")], names[own.index("text")]
     d = C.table(d.withColumn("_row", F.monotonically_increasing_id()), "near-dedup-texts")
-    texts = d.select("_row", F.col(f"_own_{own.index('doc_id')}").alias("doc_id"), F.col(f"_own_{own.index('text')}").alias("text"))
+    texts = d.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     nodes = _digests(texts).groupBy("same").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
     nodes = C.table(nodes.select(F.col("least._row").alias("node"), "least"), "near-dedup-nodes")
     root = nodes.select("node", "least").join(near_copies(texts, nodes), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = root.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
-    return d.join(kept, "_row", "left_semi").select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(own)])
+    return d.join(kept, "_row", "left_semi").select(*names).toDF(*own)

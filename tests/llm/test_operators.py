@@ -59,16 +59,19 @@ def key(r):
     return tuple((x is None, x) for x in r)
 
 
+def base_counts(t):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; and the lines with a word."""
+    w, t = words(t), t or ""
+    at = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    hit = {j for n, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if at[x] > 1 for j in (n, n + 1, n + 2)}
+    lines = [x for x in t.split("\n") if words(x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)), len(lines)
+
+
 def test_quality(docs, none):
     assert quality.quality_rules(none).collect() == []
     got = sorted((tuple(r) for r in quality.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()), key=key)
-    want = []
-    for i, t, _ in TEXTS:
-        w, t = words(t), t or ""
-        at = collections.Counter(zip(w, w[1:], w[2:], strict=False))
-        hit = {j for n, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if at[x] > 1 for j in (n, n + 1, n + 2)}
-        lines = [x for x in t.split("\n") if words(x)]
-        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)))
+    want = [(i, *base_counts(t)[0]) for i, t, _ in TEXTS]
     assert got == sorted(want, key=key)
 
 
@@ -291,7 +294,9 @@ def brute_runs(rows, least):
 def test_line_dedup(spark, docs, none):
     assert linededup.delete_repeated_runs(none).collect() == []
     got = linededup.delete_repeated_runs(docs)
-    assert set(docs.columns) - {"rid", "runs"} <= set(got.columns)
+    assert got.columns == [*docs.columns, "n_lines", "n_deleted"]
+    clash = linededup.delete_repeated_runs(docs.withColumn("N_lines", F.lit("own")).withColumn("_n_lines", F.lit(7)))
+    assert clash.columns[-4:] == ["N_lines", "_n_lines", "__n_lines", "n_deleted"] and {tuple(r) for r in clash.select("N_lines", "_n_lines").collect()} == {("own", 7)}
     got = sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_deleted").collect()), key=key)
     assert got == sorted(brute_runs(sorted(((i, t) for i, t, _ in TEXTS), key=lambda x: (x[0] is not None, x[0])), 50), key=key)
     rng = np.random.default_rng(3)
@@ -322,6 +327,40 @@ def test_secret_parts_need_company(spark):
     assert got == {1: "endpoint:0:19,id:20:31,secret:32:72", 2: "", 3: "", 4: ""}
 
 
+def brute_linked(parts, scope):
+    """Weak spans (start, rank, end) with parts of both other roles within scope, that lie in no strong or earlier span."""
+    strong = len(secrets.STRONG)
+    role = [secrets.ROLE[k] for k in secrets.ORDER]
+    order = sorted(parts)
+    out = []
+    for n, (s, k, e) in enumerate(order):
+        gap = {r: min((max(s - y, x - e) for m, (x, j, y) in enumerate(order) if m != n and role[j] == r), default=scope + 1) for r in role}
+        inside = any(y >= e for _, _, y in order[:n]) or any(j < strong and x < e for x, j, _ in order[n + 1 :])
+        if k >= strong and not inside and all(g <= scope for r, g in gap.items() if r != role[k]):
+            out.append((s, k, e))
+    return out
+
+
+def test_secret_links_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(120):
+        own = sorted({(int(s), int(rng.integers(0, len(secrets.ORDER))), int(s + n)) for s, n in zip(rng.integers(0, 3000, 20), rng.integers(1, 90, 20), strict=True)})
+        strong = [x for x in own if x[1] < len(secrets.STRONG)]
+        rows.append((i, strong, [x for x in own if x[1] >= len(secrets.STRONG)]))
+    d = spark.createDataFrame(rows, f"row long, strong {secrets.SPAN}, weak {secrets.SPAN}")
+    got = {r["row"]: sorted(map(tuple, r["linked"])) for r in secrets.link(d, 100).collect()}
+    want = {i: x for i, s, w in rows if (x := brute_linked(s + w, 100))}
+    assert got == want and want
+
+
+def test_secrets_of_many_parts(spark):
+    text = "host=a.example.com user: bob99 " * 9000
+    r = secrets.scan(spark.createDataFrame([(1, text + "A" * 39 + "b")], "doc_id long, text string")).first()
+    # Only those within SCOPE of the one secret.
+    assert r["n_linked"] == sum(len(text) - m.end() <= secrets.SCOPE - 0 for m in re.finditer(r"host=a.example.com|user: bob99", text)) + 1
+
+
 def test_surrogates(spark, docs, none):
     assert surrogates.replace(none).collect() == []
     got = collections.defaultdict(list)
@@ -390,13 +429,14 @@ def test_surrogates_of_names(spark):
 
 
 def edit(pattern, text):
-    prev = [0] * (len(text) + 1)
+    """Least edits from pattern to any part of text, a row of the table at a time."""
+    t = np.array([ord(c) for c in text], np.int64)
+    at = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
     for i, c in enumerate(pattern, 1):
-        cur = [i]
-        for j, d in enumerate(text, 1):
-            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != d)))
-        prev = cur
-    return min(prev)
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))])
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
 
 
 def test_decontamination(spark, docs, none, bench):
@@ -406,13 +446,21 @@ def test_decontamination(spark, docs, none, bench):
     want = []
     for i, t, _ in TEXTS:
         for n, b in [(1, PASSAGE[:200]), (1, PASSAGE[:200]), (5, "le chat est sur la tablo le chat est sur la table")]:
-            x, b = decontaminate.normalise(t)[:4000], decontaminate.normalise(b)
+            x, b = decontaminate.normalise(t), decontaminate.normalise(b)
             d = edit(b, x)
             if i is not None and d <= decontaminate.budget(len(b)):
                 want.append((i, n, d))
     assert got == sorted(want)
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(1, "to be"), (2, "Or not  to be"), (3, "x"), (4, "x" * 23)]
+    texts = [(1, "to be or not to be"), (2, "into be"), (3, "to bet x"), (4, "X"), (5, "y" + "x" * 23), (6, "a\n" + "x" * 23)]
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = [(i, n, 0) for i, t in texts for n, b in items if f" {decontaminate.normalise(b)} " in f" {decontaminate.normalise(t)} "]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == want
+
+
 def test_myers():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -607,6 +655,72 @@ def test_pipeline_decontaminates_rows(spark, tmp_path):
     assert sorted((tuple(r) for r in got), key=key) == sorted([rows[1], rows[3], rows[4]], key=key)
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage's survivors and texts, on a table with null and repeated ids and columns named like working ones."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    item = "which of these rivers flows through the largest number of capital cities in the whole of europe"
+    passage = "\n".join(" ".join(f"shared{i}x{j}" for j in range(18)) for i in range(4))
+    longest = itertools.cycle(range(1, 9))  # texts of unlike word length, so that the limits are wide
+    text = lambda n: (lambda most: " ".join(f"w{x}" + "y" * int(k) for x, k in zip(rng.integers(0, 40_000, n), rng.integers(0, most, n), strict=True)))(next(longest))
+    texts = [text(120) + "\n" + text(80) for _ in range(24)]
+    texts += [t + f" tail{i}" for i, t in enumerate(texts[:6])] + [texts[7].upper(), texts[8]]
+    texts += [f"{text(60)}\n{passage}\n{text(60)}" for _ in range(5)] + [passage]
+    texts += [text(70) + " " + item + " " + text(20), text(70) + " " + item.replace("rivers", "river") + " x", None, "", "short text", "word two three " * 60]
+    texts += [" ".join(f"##{x}$$" for x in range(90)), " ".join("y" * 40 for _ in range(3)) + " " + text(70)]
+    order = rng.permutation(len(texts)).tolist()
+    rows = [(None if i == 3 else 5 if i in (5, 6) else i, texts[k], "en", "s", 0, *[9] * 8) for i, k in enumerate(order)]
+    clash = "rid long, runs long, k_lang long, _row long, n_lines long, hit long, text_hash long, `kept` long"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {clash}"
+    docs = spark.createDataFrame(rows, schema).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def after(rows, stage):
+        out = dict(corpus_pipeline.STAGES)[stage](spark, spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path))
+        assert out.columns == docs.columns
+        return sorted((tuple(r) for r in out.collect()), key=key)
+
+    ids = lambda r: (r[0] is not None, r[0])
+    got = after(rows, "quality rules")
+    metrics = []
+    for r in rows:
+        (w, chars, symbols, dup, repeats, failed), n = base_counts(r[1])
+        mille = lambda x, y: 1000 * x // y if y else 0
+        metrics.append((failed, r[2], r[3], {"symbols": mille(symbols, chars), "dup_lines": mille(dup, n), "repeats": mille(repeats, w), "word_len": mille(chars, w)}))
+    want = [r for r, ok in zip(rows, quality_verdicts(metrics), strict=True) if ok]
+    assert got == sorted(want, key=key) and len(want) < len(rows)
+
+    rows = sorted(want, key=ids)
+    got = after(rows, "line dedup")
+    cut = brute_runs([(n, r[1]) for n, r in enumerate(rows)], 50)
+    want = [(*r[:1], t, *r[2:4], len(t), *r[5:]) for r, (_, t, n, gone) in zip(rows, cut, strict=True) if not n or gone < n]
+    assert got == sorted(want, key=key) and any(gone for *_, gone in cut)
+
+    rows = sorted(want, key=ids)
+    got = after(rows, "SimHash near-dedup")
+    want = [rows[i] for i in copies_kept([r[1] for r in rows])]
+    assert got == sorted(want, key=key) and len(want) < len(rows)
+
+    rows, name = want, "benchmark decontamination"
+    got = after(rows, name)
+    want = [r for r in rows if edit(item, decontaminate.normalise(r[1])) > decontaminate.budget(len(item))]
+    assert got == sorted(want, key=key) and len(want) < len(rows)
+
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    tok = Tokenizer.from_file(bpe.vocabulary_path())
+    digest = lambda t: hashlib.sha256(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    assert sorted(((r["doc_id"], r["ids_sha256"]) for r in out.collect()), key=key) == sorted(((r[0], digest(r[1])) for r in want), key=key)
+
+
+def test_index_links_are_used(spark):
+    """Pairs of nearly equal fingerprints come from the index, the least node first."""
+    d = spark.createDataFrame([(3, 0), (5, 0), (7, 7), (9, 1 << 40), (11, -1)], "node long, fp long")
+    assert {tuple(r) for r in simhash._index_links(d).collect()} == {(5, 3), (7, 3), (9, 3)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
