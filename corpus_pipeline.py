@@ -11,20 +11,17 @@ from lodestrum.llm import common as C
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    # The verdict is a function of these four, so they are the key, whatever repeats.
-    key = {"k_id": F.col("doc_id"), "k_lang": F.col("lang"), "k_source": F.col("source"), "k_text": F.xxhash64(F.coalesce("text", F.lit("")))}
-    kept = quality.quality_rules(docs).where("kept").select(F.col("doc_id").alias("o_id"), F.col("lang").alias("o_lang"), F.col("source").alias("o_source"), F.col("text_hash").alias("o_text"))
-    d = docs.withColumns(key)
-    same = d["k_text"].eqNullSafe(kept["o_text"])
-    for c in ("id", "lang", "source"):
-        same = same & d[f"k_{c}"].eqNullSafe(kept[f"o_{c}"])
-    return d.join(kept, same, "left_semi").select(*docs.columns)
+    d, names = C.renamed(docs)
+    looked_at = {c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "lang", "source", "text")}
+    kept = quality.quality_rules(d.withColumns(looked_at), names).where("kept")
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs of lines; a text of nothing else goes."""
+    """Texts without later copies of repeated runs of lines; a text of nothing else goes. n_chars follows the text."""
     out = linededup.delete_repeated_runs(docs, drop_emptied=True)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    chars = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return out.withColumns(chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # The verdict is a function of the text alone, so its hash is the key.
     hit = decontaminate.contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), C.read(spark, sf_dir, "benchmark"))
     hit = hit.select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, F.xxhash64(docs["text"]) == hit["hit"], "left_anti").select(*docs.columns)
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["hit"], "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
