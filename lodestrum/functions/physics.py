@@ -115,6 +115,27 @@ def light_travel_time(a: str, b: str) -> float:
     return math.dist(SITES[a][0], SITES[b][0]) / C_SI
 
 
+def noise_area(sites: tuple[str, ...], slop: float) -> float:
+    """Extent of the time differences of two detectors, or area of those of three, at which noise may coincide."""
+    if len(sites) == 2:
+        return 2 * (light_travel_time(*sites) + slop)
+    if len(sites) != 3:
+        raise ValueError("two or three detectors")
+    t = [light_travel_time(sites[i], sites[(i + 1) % 3]) + slop for i in range(3)]
+    return sum(2 * t[i] * t[(i + 1) % 3] - t[i] ** 2 for i in range(3))
+
+
+def signal_area(sites: tuple[str, ...]) -> float:
+    """Extent or area of the time differences that a signal can have: for three, an ellipse."""
+    if len(sites) == 2:
+        return 2 * light_travel_time(*sites)
+    if len(sites) != 3:
+        raise ValueError("two or three detectors")
+    u, v, w = (light_travel_time(sites[i], sites[(i + 1) % 3]) for i in range(3))
+    corner = math.acos((u * u + v * v - w * w) / (2 * u * v))
+    return PI * u * v * math.sin(corner)
+
+
 # --- fitted tails ------------------------------------------------------------------
 def tail_pdf(kind: str, x, alpha, t) -> Column:
     """Density of a fitted tail; 0 below the threshold."""
@@ -191,3 +212,68 @@ def ringdown(t, f0, tau, amp=1.0, phi=0.0):
 def sine_gaussian(t, f0, quality, amp=1.0):
     w = quality / (2 * PI * f0)
     return amp * F.exp(-t * t / (2 * w * w)) * F.cos(2 * PI * f0 * t)
+
+
+# --- further masses, distances and times ---------------------------------------------------
+def mass2_from_mchirp_q(mc, ratio):
+    return mc * F.pow(1 + ratio, 0.2) * F.pow(ratio, -0.6)
+
+
+def mass2_from_mchirp_mass1(mc, m1) -> Column:
+    """The real root x of x^3 = a (x + m1) with a = mc^5 / m1^3, of one or of three real ones."""
+    a = F.pow(mc, 5.0) / F.pow(m1, 3.0)
+    half = a * m1 / 2
+    gap = half * half - F.pow(a / 3, 3.0)
+    one = F.cbrt(half + F.sqrt(F.greatest(gap, F.lit(0.0)))) + F.cbrt(half - F.sqrt(F.greatest(gap, F.lit(0.0))))
+    three = 2 * F.sqrt(a / 3) * F.cos(F.acos(F.least(half / F.pow(a / 3, 1.5), F.lit(1.0))) / 3)
+    return F.when(gap >= 0, one).otherwise(three)
+
+
+def other_mass(known, e, heavier: bool) -> Column:
+    """The other mass of a binary of symmetric mass ratio e, the heavier or the lighter one."""
+    root = F.sqrt(F.greatest(1 - 4 * e, F.lit(0.0)))
+    return known * (1 - 2 * e + (root if heavier else -root)) / (2 * e)
+
+
+def spherical_to_cartesian(rho, azimuth, polar) -> tuple[Column, Column, Column]:
+    return rho * F.cos(azimuth) * F.sin(polar), rho * F.sin(azimuth) * F.sin(polar), rho * F.cos(polar)
+
+
+def effective_distance(distance, inclination, plus, cross) -> Column:
+    c = F.cos(inclination)
+    return distance / F.sqrt(F.pow((1 + c * c) / 2 * plus, 2.0) + F.pow(c * cross, 2.0))
+
+
+def larger_power_of_two(x) -> Column:
+    return F.pow(F.lit(2.0), F.ceil(F.log2(x)))
+
+
+def detector_time(site: str, unix, ra, dec) -> Column:
+    """Arrival at a detector of what reaches the centre of the earth at a time."""
+    return unix + delay_from_centre(site, ra, dec, gmst(unix))
+
+
+#: Hubble constant in km/s/Mpc, matter share of a flat universe.
+HUBBLE, MATTER = 67.74, 0.3075
+#: Intervals of the distance integral (even), and halvings of its inverse.
+INTERVALS, HALVINGS = 32, 44
+
+
+def luminosity_distance(z) -> Column:
+    """Mpc, of a flat universe of matter and a constant, by Simpson's rule."""
+    rate = lambda x: 1 / F.sqrt(MATTER * F.pow(1 + x, 3.0) + (1 - MATTER))
+    weight = lambda i: F.when((i == 0) | (i == INTERVALS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(INTERVALS)), F.lit(0.0), lambda s, i: s + weight(i) * rate(z * i / INTERVALS))
+    return (1 + z) * (C_SI / 1000 / HUBBLE) * z / (3 * INTERVALS) * total
+
+
+def redshift(distance, most: float = 10.0) -> Column:
+    """Redshift of a luminosity distance in Mpc, by halving [0, most]; most for what is farther."""
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(most).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        near = luminosity_distance(mid) < distance
+        return F.struct(F.when(near, mid).otherwise(s["lo"]).alias("lo"), F.when(near, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)

@@ -22,6 +22,12 @@ def cluster_over_time(d: DataFrame, w: int, *keys: str, block: int = BLOCK) -> D
     return rows.withColumn("_m", best).where((F.col("_b") == own) & (F.col("_m.t") == -F.col("t")) & (F.col("_m.id") == -F.col("id"))).drop("_b", "_m")
 
 
+def mean_time(*times):
+    """Mean of the times that are not null, in whole units."""
+    n = sum((t.isNotNull().cast("int") for t in times[1:]), times[0].isNotNull().cast("int"))
+    return F.floor(sum((F.coalesce(t, F.lit(0)) for t in times[1:]), F.coalesce(times[0], F.lit(0))) / n)
+
+
 def findchirp(d: DataFrame, w: int, *keys: str) -> DataFrame:
     """Sequential clustering by the size of stat: a row over w after the one now kept starts a cluster, else it replaces a lesser one.
 

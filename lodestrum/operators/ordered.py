@@ -94,3 +94,17 @@ def runs(d: DataFrame, gap: int, *keys: str, block: int = BLOCK) -> DataFrame:
     own = F.max("_begin").over(local.rangeBetween(Window.unboundedPreceding, 0))
     first = first.withColumn("_own", own).join(carry, [*keys, "_b"]).select(*keys, "_b", "t", F.coalesce("_own", "_carry").alias("_run"))
     return d.join(first, [*keys, "_b", "t"]).drop("_b")
+
+
+def with_neighbours(d: DataFrame, column: str, tie: str, rows: int | None = None) -> DataFrame:
+    """d with _prev and _next, the values of column before and after each row in the order of (column, tie) over the whole table; null at the ends.
+
+    Neighbours are found within bins of values; across borders they are the nearest bins' ends, a row for each bin.
+    """
+    d = d.withColumn("_bin", value_bin(d, column, rows))
+    ends = d.groupBy("_bin").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).orderBy("_bin").collect()  # at most MOST_BINS rows
+    near = [(r["_bin"], ends[i - 1]["hi"] if i else None, ends[i + 1]["lo"] if i + 1 < len(ends) else None) for i, r in enumerate(ends)]
+    borders = d.sparkSession.createDataFrame(near, "_bin int, _before double, _after double")
+    by = Window.partitionBy("_bin").orderBy(column, tie)
+    d = d.withColumns({"_prev": F.lag(column).over(by), "_next": F.lead(column).over(by)}).join(F.broadcast(borders), "_bin")
+    return d.withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")}).drop("_bin", "_before", "_after")

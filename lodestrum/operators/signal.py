@@ -94,6 +94,71 @@ def matched_filter(d: DataFrame, column: str, template: np.ndarray, keep: list[s
     return _rows(d, column, "peak double, at int", f, keep)
 
 
+def snr_bins(template: np.ndarray, bins: int, psd: np.ndarray | None = None, low: float | None = None, high: float | None = None, dt: float = 1.0) -> list[int]:
+    """Borders of so many runs of frequency bins that hold equal parts of the template's power."""
+    n = len(template)
+    a, b = cutoffs(low, high, n, 1 / (n * dt))
+    power = np.cumsum((np.abs(np.fft.rfft(template)) ** 2 / (1 if psd is None else psd))[a:b])
+    return [*(np.searchsorted(power, np.arange(bins) * power[-1] / bins, side="right") + a).tolist(), b]
+
+
+def power_chisq(d: DataFrame, column: str, template: np.ndarray, bins: int, keep: list[str], psd: np.ndarray | None = None, low: float | None = None, high: float | None = None, dt: float = 1.0) -> DataFrame:
+    """Peak of the matched filter, its place, and there the chi-square of equal shares of power against what each run of bins gives."""
+    n = len(template)
+    borders = snr_bins(template, bins, psd, low, high, dt)
+    norm = 4 / (n * dt) / np.sqrt(sigmasq(template, psd, low, high, dt))
+    weight = (np.fft.rfft(template) * dt).conj() / (1 if psd is None else psd)
+
+    def f(x: np.ndarray) -> pd.DataFrame:
+        q = norm * np.fft.rfft(x, axis=1) * dt * weight
+        whole = np.zeros(x.shape, complex)
+        whole[:, borders[0] : borders[-1]] = q[:, borders[0] : borders[-1]]
+        z = n * np.abs(np.fft.ifft(whole, axis=1))
+        at = z.argmax(axis=1)
+        turn = np.exp(2j * np.pi * np.arange(q.shape[1]) * at[:, None] / n)
+        parts = np.stack([(q * turn)[:, a:b].sum(axis=1) for a, b in zip(borders, borders[1:], strict=False)], axis=1)
+        peak = z[np.arange(len(z)), at]
+        return pd.DataFrame({"peak": peak, "at": at.astype(np.int32), "chisq": bins * (np.abs(parts) ** 2).sum(axis=1) - peak**2})
+
+    return _rows(d, column, "peak double, at int, chisq double", f, keep)
+
+
+def match(d: DataFrame, column: str, template: np.ndarray, keep: list[str], psd: np.ndarray | None = None, low: float | None = None, high: float | None = None, dt: float = 1.0) -> DataFrame:
+    """Largest overlap with a template over time and phase, both of unit norm."""
+    n = len(template)
+    a, b = cutoffs(low, high, n, 1 / (n * dt))
+
+    def f(x: np.ndarray) -> pd.DataFrame:
+        w = 1 if psd is None else psd[a:b]
+        s, t = np.fft.rfft(x, axis=1)[:, a:b], np.fft.rfft(template)[a:b]
+        q = np.zeros(x.shape, complex)
+        q[:, a:b] = s * t.conj() / w
+        own = np.sqrt((np.abs(s) ** 2 / w).sum(axis=1) * (np.abs(t) ** 2 / w).sum())
+        return pd.DataFrame({"match": n * np.abs(np.fft.ifft(q, axis=1)).max(axis=1) / np.where(own == 0, 1, own)})
+
+    return _rows(d, column, "match double", f, keep)
+
+
+def whitened(d: DataFrame, column: str, psd: np.ndarray, keep: list[str], dt: float = 1.0) -> DataFrame:
+    """Series divided by the root of a one-sided spectrum, of unit variance for noise of that spectrum."""
+
+    def f(x: np.ndarray) -> pd.DataFrame:
+        y = np.fft.irfft(np.fft.rfft(x, axis=1) / np.sqrt(psd), x.shape[1], axis=1) * np.sqrt(2 * dt)
+        return pd.DataFrame({"white": list(y)})
+
+    return _rows(d, column, "white array<double>", f, keep)
+
+
+def truncated_inverse(psd: np.ndarray, length: int, low: int = 1) -> np.ndarray:
+    """A spectrum whose inverse's root is no longer than length samples in time, so that filtering with it spoils no more."""
+    n = 2 * (len(psd) - 1)
+    root = np.zeros(len(psd))
+    root[low:-1] = 1 / np.sqrt(psd[low:-1])
+    q = np.fft.irfft(root, n)
+    q[length // 2 : n - length // 2] = 0
+    return 1 / np.maximum(np.abs(np.fft.rfft(q)) ** 2, np.finfo(float).tiny)
+
+
 def autocorrelation(d: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """Normalised autocorrelation by FFT, and its length 1 + 2 sum rho up to the first K with 5 tau <= K (infinite if none)."""
 

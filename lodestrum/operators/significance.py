@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.physics import tail_above
 from . import ordered
 
 
@@ -39,19 +42,72 @@ def fap(rate, foreground_time):
     return 1 - F.exp(-foreground_time * rate)
 
 
-def tail_fit(d: DataFrame, threshold: float, *keys: str) -> DataFrame:
-    """Maximum-likelihood slope of an exponential, Rayleigh or power tail above a threshold, with its error.
+def limited(rate, limit: float):
+    """A rate no lower than limit; 0 sets none."""
+    return F.greatest(rate, F.lit(limit)) if limit else rate
+
+
+def tail_fit(d: DataFrame, threshold: float, *keys: str, weight: str | None = None) -> DataFrame:
+    """Maximum-likelihood slope of an exponential, Rayleigh and power tail from a threshold on, with the errors.
 
-    Values are stat; groups with none above the threshold have -1.
+    Values are stat, weighed by weight if given; groups with none there have -1.
     """
     x, t = F.col("stat"), threshold
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     above = x >= t
-    n = F.sum(above.cast("double"))
-    m = lambda e: F.sum(F.when(above, e))
-    d = d.groupBy(*keys).agg(n.alias("n"), m(x - t).alias("e"), m(x * x - t * t).alias("r"), m(F.log(x / t)).alias("p"))
-    ok = (F.col("n") > 0) & (F.col("e") > 0)
-    pick = lambda e: F.when(ok, e).otherwise(-1.0)
-    return d.select(*keys, F.col("n").cast("long").alias("n_above"), pick(F.col("n") / F.col("e")).alias("alpha_exponential"), pick(2 * F.col("n") / F.col("r")).alias("alpha_rayleigh"), pick(F.col("n") / F.col("p") + 1).alias("alpha_power"), pick(F.sqrt("n") / F.col("e")).alias("sigma_exponential"))
+    m = lambda e: F.sum(F.when(above, e * w))
+    d = d.groupBy(*keys).agg(F.sum(F.when(above, 1).otherwise(0)).alias("n_above"), F.coalesce(m(F.lit(1.0)), F.lit(0.0)).alias("n"), m(x - t).alias("e"), m(x * x - t * t).alias("r"), m(F.log(x / t)).alias("p"))
+    pick = lambda e: F.when((F.col("n") > 0) & (F.col("e") > 0), e).otherwise(-1.0)
+    slope = {"exponential": F.col("n") / F.col("e"), "rayleigh": 2 * F.col("n") / F.col("r"), "power": F.col("n") / F.col("p") + 1}
+    out = [pick(a).alias(f"alpha_{k}") for k, a in slope.items()]
+    out += [pick((a - (1 if k == "power" else 0)) / F.sqrt("n")).alias(f"sigma_{k}") for k, a in slope.items()]
+    return d.select(*keys, "n_above", *out)
+
+
+def louder_by_fit(fg: DataFrame, bg: DataFrame, kind: str, threshold: float, *keys: str) -> DataFrame:
+    """fg (id, stat) with louder, estimated from a tail fitted to bg (stat, weight) above a threshold.
+
+    At or below the threshold the background there is counted, and all above it added.
+    """
+    fit = tail_fit(bg, threshold, *keys, weight="weight").select(*keys, F.col(f"alpha_{kind}").alias("_a"))
+    above = bg.groupBy(*keys).agg(F.sum(F.when(F.col("stat") > threshold, F.col("weight")).otherwise(0.0)).alias("_n"))
+    low = count_louder(fg.where(F.col("stat") <= threshold), bg.where(F.col("stat") <= threshold), *keys)
+    both = low.unionByName(fg.where(F.col("stat") > threshold).select(*keys, "id", "stat"), allowMissingColumns=True)
+    if keys:
+        both = both.join(fit.join(above, list(keys)), list(keys), "left")
+    else:
+        both = both.join(F.broadcast(fit.join(F.broadcast(above), F.lit(True))), F.lit(True))  # one row each
+    tail = F.col("_n") * tail_above(kind, F.col("stat"), F.col("_a"), F.lit(float(threshold)))
+    return both.select(*keys, "id", "stat", F.when(F.col("stat") > threshold, tail).otherwise(F.col("louder") + F.col("_n")).alias("louder"))
+
+
+def louder(method: str, fg: DataFrame, bg: DataFrame, *keys: str, kind: str = "exponential", threshold: float = 0.0) -> DataFrame:
+    """Louder background by method: counted, or by a fit."""
+    if method == "count":
+        return count_louder(fg, bg, *keys)
+    if method == "fit":
+        return louder_by_fit(fg, bg, kind, threshold, *keys)
+    raise ValueError(f"no method {method}; there are count and fit")
+
+
+def without_loud(fg: DataFrame, bg: DataFrame, rate: float, live: float, w: int, most: int) -> DataFrame:
+    """Hierarchical removal: fg (id, stat, t) with louder and stage, its last estimate and the removals before it.
+
+    While the loudest event left has a rate below `rate`, its estimate stands, and all background
+    (stat, weight, t) within w of it is removed, for the others to be estimated anew. The loop is over the
+    loudest few, most of them at most; each round is an aggregation.
+    """
+    done = None
+    for stage in range(most + 1):
+        now = count_louder(fg, bg).join(fg.select("id", "t"), "id").withColumn("stage", F.lit(stage))
+        top = now.orderBy(F.desc("stat"), "id").limit(1).collect()
+        if stage == most or not top or top[0]["louder"] is None or (top[0]["louder"] + 1) / live >= rate:
+            return now if done is None else done.union(now)
+        this = now.where(F.col("id") == top[0]["id"])
+        done = this if done is None else done.union(this)
+        fg = fg.where(F.col("id") != top[0]["id"])
+        bg = bg.where(F.abs(F.col("t") - top[0]["t"]) > w)
+    return done
 
 
 def efficiency(d: DataFrame, width: float) -> DataFrame:
@@ -61,11 +117,33 @@ def efficiency(d: DataFrame, width: float) -> DataFrame:
     return g.select("bin", e.alias("eff"), F.sqrt(e * (1 - e) / F.col("total")).alias("err"))
 
 
-def shell_volume(d: DataFrame, width: float) -> DataFrame:
-    """Volume from efficiency in shells of distance: the sum of 4/3 pi (outer^3 - inner^3) times the found share."""
-    e = efficiency(d, width)
-    shell = 4 / 3 * 3.141592653589793 * (F.pow((F.col("bin") + 1) * width, 3.0) - F.pow(F.col("bin") * width, 3.0))
-    return e.agg(F.sum(shell * F.col("eff")).alias("volume"))
+def efficiency_volume(eff: DataFrame, width: float, logarithmic: bool = False) -> DataFrame:
+    """Volume and its error from efficiencies (bin, eff, err) in bins of distance, by the midpoint of each.
+
+    logarithmic: bins are of width in log distance, and midpoints geometric.
+    """
+    mid = (F.col("bin") + 0.5) * width
+    cell = 4 * math.pi * (F.exp(3 * mid) if logarithmic else mid * mid) * width
+    return eff.agg(F.sum(cell * F.col("eff")).alias("volume"), F.sqrt(F.sum(F.pow(cell * F.col("err"), 2.0))).alias("error"))
+
+
+def shell_volume(d: DataFrame) -> DataFrame:
+    """Volume and error from injections (id, distance, found): the shell about each found one reaches half-way to its neighbours.
+
+    The first shell begins at 0; the farthest injection has none.
+    """
+    n = ordered.with_neighbours(d.select("id", "distance", "found"), "distance", "id")
+    x = F.col("distance")
+    inner = F.coalesce((F.col("_prev") + x) / 2, F.lit(0.0))
+    shell = 4 * math.pi * x * x * ((F.col("_next") + x) / 2 - inner)
+    n = n.where(F.col("found") & F.col("_next").isNotNull())
+    return n.agg(F.coalesce(F.sum(shell), F.lit(0.0)).alias("volume"), F.sqrt(F.coalesce(F.sum(shell * shell), F.lit(0.0))).alias("error"))
+
+
+def distance_of_volume(volume, error) -> tuple:
+    """Radius of a volume, and how far it rises and falls with the volume's error."""
+    radius = lambda v: F.pow(v * 3.0 / 4.0 / math.pi, 1.0 / 3)
+    return radius(volume), radius(volume + error) - radius(volume), radius(volume) - radius(F.greatest(volume - error, F.lit(0.0)))
 
 
 def monte_carlo_volume(d: DataFrame, power: float) -> DataFrame:

@@ -189,12 +189,20 @@ def cluster_over_time(spark, d):
     return clustering.cluster_over_time(T.triggers(spark, d), 600 * SEC, "k").select("id", "k", "t", "stat")
 
 
-@query()
+_O = "o AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY {BY}) AS n, count(*) OVER (PARTITION BY tid) AS m FROM {T})"
+
+
+@query(f"""WITH RECURSIVE {_O.replace('{BY}', 't, id')}, x(tid, n, cur, t, stat, new) AS (SELECT tid, n, id, t, stat, false FROM o WHERE n = 1 UNION ALL
+ SELECT o.tid, o.n, CASE WHEN o.t - x.t > 21600000000 OR abs(o.stat) > abs(x.stat) THEN o.id ELSE x.cur END, CASE WHEN o.t - x.t > 21600000000 OR abs(o.stat) > abs(x.stat) THEN o.t ELSE x.t END,
+ CASE WHEN o.t - x.t > 21600000000 OR abs(o.stat) > abs(x.stat) THEN o.stat ELSE x.stat END, o.t - x.t > 21600000000 FROM x JOIN o ON o.tid = x.tid AND o.n = x.n + 1)
+ SELECT x.tid, x.t, x.cur AS id, x.stat FROM x LEFT JOIN x y ON y.tid = x.tid AND y.n = x.n + 1 WHERE y.n IS NULL OR y.new""")
 def findchirp_cluster(spark, d):
     return clustering.findchirp(T.triggers(spark, d), 6 * 3600 * SEC, "tid")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_O.replace('{BY}', 'stat DESC, t, id')}, x(tid, n, kept, id, t, stat, own) AS (SELECT tid, n, [t], id, t, stat, true FROM o WHERE n = 1 UNION ALL
+ SELECT o.tid, o.n, CASE WHEN len(list_filter(x.kept, lambda y: abs(y - o.t) < 86400000000)) = 0 THEN list_append(x.kept, o.t) ELSE x.kept END, o.id, o.t, o.stat, len(list_filter(x.kept, lambda y: abs(y - o.t) < 86400000000)) = 0 FROM x JOIN o ON o.tid = x.tid AND o.n = x.n + 1)
+ SELECT tid, t, id, stat FROM x WHERE own""")
 def separated_loudest(spark, d):
     return clustering.separated_loudest(T.triggers(spark, d), 86400 * SEC, "tid")
 
@@ -235,11 +243,21 @@ def louder_background(spark, d):
     return significance.count_louder(t.where("id % 5 = 0"), t.where("id % 5 <> 0").withColumn("weight", F.lit(1.0)), "k")
 
 
-@query("""SELECT k, count(*) AS n_above, round(count(*) / sum(stat - 100), 9) AS alpha_exponential, round(2 * count(*) / sum(stat * stat - 10000), 9) AS alpha_rayleigh, round(count(*) / sum(ln(stat / 100)) + 1, 6) AS alpha_power, round(sqrt(count(*)) / sum(stat - 100), 9) AS sigma_exponential
-FROM {T} WHERE stat >= 100 GROUP BY k""")
+_TAIL = """round(w / e, 9) AS alpha_exponential, round(2 * w / q, 9) AS alpha_rayleigh, round(w / p + 1, 6) AS alpha_power, round(sqrt(w) / e, 9) AS sigma_exponential, round(2 * sqrt(w) / q, 9) AS sigma_rayleigh, round(sqrt(w) / p, 9) AS sigma_power"""
+
+
+def _tail(f):
+    return f.select("k", "n_above", *[r(F.col(c), 6 if c == "alpha_power" else 9).alias(c) for c in f.columns if c[:5] in ("alpha", "sigma")])
+
+
+@query(f"SELECT k, n_above, {_TAIL} FROM (SELECT k, count(*) AS n_above, count(*)::DOUBLE AS w, sum(stat - 100) AS e, sum(stat * stat - 10000) AS q, sum(ln(stat / 100)) AS p FROM {{T}} WHERE stat >= 100 GROUP BY k)")
 def tail_fit(spark, d):
-    f = significance.tail_fit(T.triggers(spark, d), 100.0, "k")
-    return f.select("k", "n_above", r(F.col("alpha_exponential"), 9).alias("alpha_exponential"), r(F.col("alpha_rayleigh"), 9).alias("alpha_rayleigh"), r(F.col("alpha_power")).alias("alpha_power"), r(F.col("sigma_exponential"), 9).alias("sigma_exponential"))
+    return _tail(significance.tail_fit(T.triggers(spark, d), 100.0, "k"))
+
+
+@query(f"SELECT k, n_above, {_TAIL} FROM (SELECT k, count(*) AS n_above, sum(x) AS w, sum(x * (stat - 100)) AS e, sum(x * (stat * stat - 10000)) AS q, sum(x * ln(stat / 100)) AS p FROM (SELECT *, 1.0::DOUBLE + id % 3 AS x FROM {{T}}) WHERE stat >= 100 GROUP BY k)")
+def weighted_tail_fit(spark, d):
+    return _tail(significance.tail_fit(T.triggers(spark, d).withColumn("weight", 1.0 + F.col("id") % 3), 100.0, "k", weight="weight"))
 
 
 _INJ = "(SELECT o_orderkey AS id, o_totalprice / 1000 AS distance, o_orderstatus = 'F' AS found FROM orders)"
@@ -254,9 +272,25 @@ def efficiency(spark, d):
     return significance.efficiency(_injections(spark, d), 50.0).select("bin", r(F.col("eff")).alias("eff"), r(F.col("err")).alias("err"))
 
 
-@query(f"SELECT round(sum(4.0::DOUBLE / 3 * pi() * (pow((bin + 1) * 50, 3) - pow(bin * 50, 3)) * eff), 0) AS volume FROM (SELECT floor(distance / 50) AS bin, avg(found::INT) AS eff FROM {_INJ} GROUP BY 1)")
+@query(f"SELECT round(sum(c * eff) / 1e6, 4) AS volume, round(sqrt(sum(c * c * eff * (1 - eff) / n)) / 1e6, 4) AS error FROM (SELECT 4 * pi() * pow((floor(distance / 50) + 0.5) * 50, 2) * 50 AS c, avg(found::INT) AS eff, count(*) AS n FROM {_INJ} GROUP BY floor(distance / 50))")
+def efficiency_volume(spark, d):
+    """Mean efficiency in shells of distance, summed by their midpoints."""
+    v = significance.efficiency_volume(significance.efficiency(_injections(spark, d), 50.0), 50.0)
+    return v.select(*[r(F.col(c) / 1e6, 4).alias(c) for c in ("volume", "error")])
+
+
+@query(f"SELECT round(sum(c * eff) / 1e6, 4) AS volume, round(sqrt(sum(c * c * eff * (1 - eff) / n)) / 1e6, 4) AS error FROM (SELECT 4 * pi() * exp(3 * (floor(ln(distance) / 0.2) + 0.5) * 0.2) * 0.2 AS c, avg(found::INT) AS eff, count(*) AS n FROM {_INJ} GROUP BY floor(ln(distance) / 0.2))")
+def log_efficiency_volume(spark, d):
+    e = significance.efficiency(_injections(spark, d).withColumn("distance", F.log("distance")), 0.2)
+    return significance.efficiency_volume(e, 0.2, logarithmic=True).select(*[r(F.col(c) / 1e6, 4).alias(c) for c in ("volume", "error")])
+
+
+@query(f"""WITH s AS (SELECT found, distance AS x, lag(distance) OVER (ORDER BY distance, id) AS a, lead(distance) OVER (ORDER BY distance, id) AS b FROM {_INJ}), c AS (SELECT 4 * pi() * x * x * ((b + x) / 2 - coalesce((a + x) / 2, 0)) AS v FROM s WHERE found AND b IS NOT NULL),
+ t AS (SELECT sum(v) AS v, sqrt(sum(v * v)) AS e FROM c) SELECT round(v / 1e6, 4) AS volume, round(e / 1e6, 4) AS error, round(pow(v * 3 / 4 / pi(), 1.0/3), 5) AS distance, round(pow((v + e) * 3 / 4 / pi(), 1.0/3) - pow(v * 3 / 4 / pi(), 1.0/3), 5) AS up, round(pow(v * 3 / 4 / pi(), 1.0/3) - pow(greatest(v - e, 0) * 3 / 4 / pi(), 1.0/3), 5) AS down FROM t""")
 def shell_volume(spark, d):
-    return significance.shell_volume(_injections(spark, d), 50.0).select(r(F.col("volume"), 0).alias("volume"))
+    v = significance.shell_volume(_injections(spark, d))
+    at, up, down = significance.distance_of_volume(F.col("volume"), F.col("error"))
+    return v.select(r(F.col("volume") / 1e6, 4).alias("volume"), r(F.col("error") / 1e6, 4).alias("error"), r(at, 5).alias("distance"), r(up, 5).alias("up"), r(down, 5).alias("down"))
 
 
 @query(f"SELECT round(v * f / w, 0) AS volume, round(v * sqrt(n * (f2 / n - (f / n) * (f / n))) / w, 0) AS error FROM (SELECT 4.0::DOUBLE / 3 * pi() * pow(max(distance), 3) AS v, sum(CASE WHEN found THEN distance ELSE 0 END) AS f, sum(distance) AS w, sum(CASE WHEN found THEN distance * distance ELSE 0 END) AS f2, count(*)::DOUBLE AS n FROM {_INJ})")
@@ -353,24 +387,57 @@ def threshold_series(spark, d):
     return e.where(F.abs(F.col("x").cast("double")) > 0.3).select("vec_id", F.col("i").cast("long"), r(F.col("x").cast("double")).alias("x"))
 
 
-@query()
+_XS = "x AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) g(i))"
+_FT = "f AS (SELECT vec_id, f, sum(v * cos(2 * pi() * f * i / 64)) AS re, -sum(v * sin(2 * pi() * f * i / 64)) AS im FROM x, range(0, 33) h(f) GROUP BY vec_id, f)"
+
+
+def _exploded(df, column, name):
+    return df.select("vec_id", F.posexplode(column).alias(name, "v")).select("vec_id", F.col(name).cast("long").alias(name), r(F.col("v")).alias(column))
+
+
+@query(f"WITH {_XS}, {_FT} SELECT vec_id, f, round((re * re + im * im) / 32, 6) AS psd FROM f")
 def power_spectrum(spark, d):
-    return signal.power_spectrum(T.read(spark, d, "embeddings"), "embedding", ["vec_id"])
+    return _exploded(signal.power_spectrum(T.read(spark, d, "embeddings"), "embedding", ["vec_id"]), "psd", "f")
+
+
+_WIN = "(0.5 - 0.5 * cos(2 * pi() * (i - 8 * s) / 15))"
 
 
-@query()
+@query(f"""WITH {_XS}, q AS (SELECT vec_id, s, f, sum(v * {_WIN} * cos(2 * pi() * f * (i - 8 * s) / 16)) AS re, sum(v * {_WIN} * sin(2 * pi() * f * (i - 8 * s) / 16)) AS im FROM x, range(0, 7) g(s), range(0, 9) h(f) WHERE i >= 8 * s AND i < 8 * s + 16 GROUP BY ALL),
+ w AS (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * n / 15), 2)) AS w FROM range(0, 16) g(n)) SELECT vec_id, f, round(median(2 * (re * re + im * im) / w / CASE WHEN f IN (0, 8) THEN 2 ELSE 1 END) / (1 - 1.0/2 + 1.0/3 - 1.0/4 + 1.0/5 - 1.0/6 + 1.0/7), 6) AS psd FROM q, w GROUP BY vec_id, f""")
 def welch_psd(spark, d):
-    return signal.welch(T.read(spark, d, "embeddings"), "embedding", ["vec_id"], 16, 8)
+    return _exploded(signal.welch(T.read(spark, d, "embeddings"), "embedding", ["vec_id"], 16, 8), "psd", "f")
 
 
-@query()
+_MF = """t AS (SELECT f, sum(s * cos(2 * pi() * f * i / 64)) AS tr, -sum(s * sin(2 * pi() * f * i / 64)) AS ti FROM (SELECT i, {W} AS s FROM range(0, 64) g(i)), range(1, 32) h(f) GROUP BY f), n AS (SELECT sum(tr * tr + ti * ti) AS p FROM t),
+ c AS (SELECT vec_id, f, re * tr + im * ti AS a, im * tr - re * ti AS b FROM f JOIN t USING (f)), z AS (SELECT vec_id, k, sqrt(pow(sum(a * cos(2 * pi() * f * k / 64) - b * sin(2 * pi() * f * k / 64)), 2) + pow(sum(a * sin(2 * pi() * f * k / 64) + b * cos(2 * pi() * f * k / 64)), 2)) AS z FROM c, range(0, 64) g(k) GROUP BY vec_id, k)"""
+_TONE, _CHIRP = "sin(0.3 * i)", "cos(0.02 * i * i)"
+
+
+@query(f"WITH {_XS}, {_FT}, {_MF.replace('{W}', _TONE)} SELECT vec_id, round(max(z) * 4 / 64 / sqrt(4.0 / 64 * max(p)), 6) AS peak, arg_max(k, z)::INT AS at FROM z, n GROUP BY vec_id")
 def matched_filter(spark, d):
-    return signal.matched_filter(T.read(spark, d, "embeddings"), "embedding", np.sin(np.arange(64) * 0.3), ["vec_id"])
+    return signal.matched_filter(T.read(spark, d, "embeddings"), "embedding", np.sin(np.arange(64) * 0.3), ["vec_id"]).select("vec_id", r(F.col("peak")).alias("peak"), "at")
+
+
+@query(f"WITH {_XS}, {_FT}, {_MF.replace('{W}', _CHIRP)}, o AS (SELECT vec_id, sum(re * re + im * im) AS o FROM f WHERE f BETWEEN 1 AND 31 GROUP BY vec_id) SELECT vec_id, round(max(z) / sqrt(max(p) * max(o)), 6) AS match FROM z JOIN o USING (vec_id), n GROUP BY vec_id")
+def waveform_match(spark, d):
+    return signal.match(T.read(spark, d, "embeddings"), "embedding", np.cos(0.02 * np.arange(64) ** 2), ["vec_id"]).select("vec_id", r(F.col("match")).alias("match"))
+
+
+@query(f"""WITH {_XS}, {_FT}, {_MF.replace('{W}', _CHIRP)}, m AS (SELECT vec_id, arg_max(k, z) AS place, max(z) AS z FROM z GROUP BY vec_id), s AS (SELECT f, sum(tr * tr + ti * ti) OVER (ORDER BY f) AS upto FROM t),
+ e AS (SELECT l, 1 + count(*) FILTER (upto <= l * p / 4) AS lo FROM s, n, range(0, 4) g(l) GROUP BY l), g AS (SELECT l, lo, coalesce(lead(lo) OVER (ORDER BY l), 32) AS hi FROM e),
+ y AS (SELECT vec_id, l, pow(sum(a * cos(2 * pi() * f * place / 64) - b * sin(2 * pi() * f * place / 64)), 2) + pow(sum(a * sin(2 * pi() * f * place / 64) + b * cos(2 * pi() * f * place / 64)), 2) AS y FROM c JOIN m USING (vec_id) JOIN g ON f >= lo AND f < hi GROUP BY vec_id, l)
+ SELECT vec_id, place::INT AS at, round(z * 4 / 64 / sqrt(4.0 / 64 * p), 6) AS peak, round((4 * t - z * z) * 4 / 64 / p, 6) AS chisq FROM m JOIN (SELECT vec_id, sum(y) AS t FROM y GROUP BY vec_id) USING (vec_id), n""")
+def power_chisq(spark, d):
+    x = signal.power_chisq(T.read(spark, d, "embeddings"), "embedding", np.cos(0.02 * np.arange(64) ** 2), 4, ["vec_id"])
+    return x.select("vec_id", "at", r(F.col("peak")).alias("peak"), r(F.col("chisq")).alias("chisq"))
 
 
-@query()
+@query(f"""WITH {_XS}, y AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM x), a AS (SELECT p.vec_id, k, sum(p.v * q.v) AS a FROM y p, range(0, 64) g(k), y q WHERE q.vec_id = p.vec_id AND q.i = p.i + k GROUP BY p.vec_id, k),
+ s AS (SELECT vec_id, k, a / first_value(a) OVER w AS rho, 2 * sum(a) OVER w / first_value(a) OVER w - 1 AS tau FROM a WINDOW w AS (PARTITION BY vec_id ORDER BY k)) SELECT vec_id, round(max(rho) FILTER (k = 1), 6) AS rho1, round(max(rho) FILTER (k = 5), 6) AS rho5, round(coalesce(arg_min(tau, k) FILTER (5 * tau <= k), 'inf'::DOUBLE), 6) AS acl FROM s GROUP BY vec_id""")
 def autocorrelation(spark, d):
-    return signal.autocorrelation(T.read(spark, d, "embeddings"), "embedding", ["vec_id"])
+    a = signal.autocorrelation(T.read(spark, d, "embeddings"), "embedding", ["vec_id"])
+    return a.select("vec_id", r(F.get("acf", 1)).alias("rho1"), r(F.get("acf", 5)).alias("rho5"), r(F.col("acl")).alias("acl"))
 
 
 # --- streaming ------------------------------------------------------------------------------
