@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Width of a block of time, in the unit of the times (microseconds: a day).
 BLOCK = 86_400_000_000
-#: Rows of a bin of values, about, and the most bins.
-ROWS, MOST_BINS = 2_000_000, 1024
+#: Rows of a bin of values, about, and the fewest and the most bins.
+ROWS, LEAST_BINS, MOST_BINS = 2_000_000, 8, 1024
 
 
 def block_of(t: Column, block: int = BLOCK) -> Column:
@@ -23,11 +23,11 @@ def value_bin(d: DataFrame, column: str, rows: int | None = None) -> Column:
     """Number of the bin of column: bins of about equal rows, in order of value; equal values share a bin.
 
     The borders are quantiles from one mergeable sketch; the expression is a balanced tree of
-    comparisons. A table within one bin has bin 0 throughout.
+    comparisons. A table of one value has bin 0 throughout.
     """
     cuts = [i / MOST_BINS for i in range(1, MOST_BINS)]
     n, q = d.agg(F.count(column), F.percentile_approx(column, cuts, 20_000)).first()
-    bins = min(MOST_BINS, -(-n // (rows or ROWS)))
+    bins = min(MOST_BINS, max(LEAST_BINS, -(-n // (rows or ROWS))))
     borders = sorted({q[MOST_BINS * i // bins - 1] for i in range(1, bins)}) if q else []
 
     def tree(lo: int, hi: int) -> Column:

@@ -34,7 +34,7 @@ def masses_to_mchirp_q() -> Transform:
 
 
 def masses_to_mchirp_eta() -> Transform:
-    return Transform(["mass1", "mass2"], ["mchirp", "eta"], lambda a, b: (L.mchirp(a, b), L.eta(a, b)), lambda a, b: F.abs(a - b) / F.pow(a + b, 3.0) * F.pow(L.eta(a, b), 0.6))
+    return Transform(["mass1", "mass2"], ["mchirp", "eta"], lambda a, b: (L.mchirp(a, b), L.eta(a, b)), lambda a, b: F.abs(a - b) / F.pow(a + b, 2.0) * F.pow(L.eta(a, b), 0.6))
 
 
 def mchirp_eta_to_masses() -> Transform:

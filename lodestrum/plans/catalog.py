@@ -231,6 +231,7 @@ SELECT a_id, b_id, round(stat, 6) AS stat, n::DOUBLE AS louder, round((n + 1) *
 def coincidence_far(spark, d):
     """Zero-lag coincidences with the rate of louder time-slid ones, per year."""
     x = _slides(spark, d).withColumn("stat", L.quadrature(F.col("a_stat"), F.col("b_stat"))).withColumn("id", F.col("a_id") * 1_000_000_000 + F.col("b_id"))
+    x = T.table(x.select("id", "slide", "stat"), "coincidences")
     fg = significance.count_louder(x.where("slide = 0"), x.where("slide <> 0").withColumn("weight", F.lit(1.0)))
     z = fg.select(F.floor(F.col("id") / 1_000_000_000).alias("a_id"), (F.col("id") % 1_000_000_000).alias("b_id"), r(F.col("stat")).alias("stat"), "louder", F.col("louder").alias("_n"))
     return z.withColumn("far", r((F.col("_n") + 1) * L.YEAR / 2592000 / 29)).drop("_n")

@@ -38,3 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def table(d: DataFrame, tag: str) -> DataFrame:
+    """d written to the shared folder and read back, where several passes would work it out anew."""
+    path = new_path(d.sparkSession, tag)
+    d.write.parquet(path)
+    return d.sparkSession.read.schema(d.schema).parquet(path)
