@@ -182,3 +182,23 @@ def at_linear(a, x):
     i = F.floor(x).cast("int")
     lo, hi = F.get(a, i).cast("double"), F.get(a, F.least(i + 1, F.size(a) - 1)).cast("double")
     return lo + (hi - lo) * (x - i)
+
+
+# --- samples and banks ---------------------------------------------------------------
+def hypertriangle(parts: list, lo: float = 0.0, hi: float = 1.0) -> list[Column]:
+    """Ascending values from as many independent uniform ones: 1 - y is a running product of powers of 1 - x."""
+    n, out, left = len(parts), [], F.lit(1.0)
+    for i, x in enumerate(parts):
+        left = left * F.pow(1 - (x - lo) / (hi - lo), 1.0 / (n - i))
+        out.append(lo + (hi - lo) * (1 - left))
+    return out
+
+
+def template_hash(*parts) -> Column:
+    """A number from a template's parameters: the same for the same, whatever bank it stands in."""
+    return F.xxhash64(*[p.cast("double") for p in parts])
+
+
+def metric_mismatch(a: list, b: list) -> Column:
+    """Squared distance in orthonormal metric coordinates, one less the match of near templates."""
+    return sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0]))

@@ -105,3 +105,21 @@ def highpass_taps(cutoff: float, n: int, beta: float = 5.0) -> list[float]:
 def notch_taps(low: float, high: float, n: int, beta: float = 5.0) -> list[float]:
     """What passes below low or above high."""
     return [a + b for a, b in zip(lowpass_taps(low, n, beta), highpass_taps(high, n, beta), strict=True)]
+
+
+def window_tops(a, w: int, threshold: float = float("-inf")) -> Column:
+    """(i, v) of the samples above a threshold that are the first maximum of modulus within w samples on both sides."""
+    size = doubles(F.transform(a, lambda x: F.abs(x)))
+    each = F.transform(size, lambda v, i: F.struct(i.cast("long").alias("i"), v.alias("v"), F.slice(size, F.greatest(i - w, F.lit(0)) + 1, F.least(i, F.lit(w))).alias("before"), F.slice(size, i + 2, F.lit(w)).alias("after")))
+    top = lambda x: (x["v"] > threshold) & (x["v"] > F.coalesce(F.array_max(x["before"]), F.lit(-1.0))) & (x["v"] >= F.coalesce(F.array_max(x["after"]), F.lit(-1.0)))
+    return F.transform(F.filter(each, top), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))
+
+
+def autogates(a, threshold: float, w: int) -> Column:
+    """(start, end) of gates of w samples on both sides of each top above a threshold, that of the samples within."""
+    return F.transform(window_tops(a, w, threshold), lambda x: F.struct(F.greatest(x["i"] - w, F.lit(0)).alias("start"), F.least(x["i"] + w + 1, F.size(a)).alias("end")))
+
+
+def smeared(indices, by: int) -> Column:
+    """Every index within by of a given one, once, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(indices, lambda i: F.sequence(i - by, i + by)))))

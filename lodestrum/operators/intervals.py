@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,37 @@ def most_shared(a: DataFrame, b: DataFrame, *keys: str, block: int = 3600 * 1_00
     j = j.where((lo < hi) & (F.col("_b") == block_of(lo, block)))
     best = F.max_by(F.struct("b.id", (hi - lo).alias("shared")), F.struct((hi - lo), -F.col("b.start"), -F.col("b.id")))
     return j.groupBy(*keys, "a").agg(best.alias("x")).select(*keys, F.col("a.id").alias("id"), F.col("x.id").alias("other"), F.col("x.shared").alias("shared"))
+
+
+def parse_flags(text: str) -> list[dict]:
+    """'+H1:DATA:1<-8:8>[0:100],-VETO' as sign, detector, name, pad and bound of each flag, in order."""
+    out = []
+    for flag in text.replace(" ", "").split(","):
+        m = FLAG.fullmatch(flag)
+        if not m:
+            raise ValueError(f"a flag is +NAME or -NAME, with an optional detector, <before:after> and [start:end], not {flag}")
+        pair = lambda x, kind: tuple(kind(v) for v in x.split(":")) if x else None
+        out.append({"add": m[1] == "+", "detector": m[2], "name": m[3], "pad": pair(m[4] or m[6], float), "bound": pair(m[5], int)})
+    return out
+
+
+FLAG = re.compile(r"([+-])(?:(\w{2}):)?([^<>\[\]]+)(?:<([^>]+)>)?(?:\[([^\]]+)\])?(?:<([^>]+)>)?")
+
+
+def flagged(segments: DataFrame, text: str, detector: str, unit: int = 1, block: int = BLOCK) -> DataFrame:
+    """Time that the flags leave: segments (detector, name, start, end) added and taken away in order.
+
+    A flag's segments are moved by its pad and cut to its bound (both in units of so many steps of time).
+    """
+    out = None
+    for f in parse_flags(text):
+        s = segments.where((F.col("detector") == (f["detector"] or detector)) & (F.col("name") == f["name"])).select("start", "end")
+        if f["pad"]:
+            s = s.select((F.col("start") + int(f["pad"][0] * unit)).alias("start"), (F.col("end") + int(f["pad"][1] * unit)).alias("end"))
+        if f["bound"]:
+            s = s.select(F.greatest(F.col("start"), F.lit(f["bound"][0] * unit)).alias("start"), F.least(F.col("end"), F.lit(f["bound"][1] * unit)).alias("end")).where("start < end")
+        if out is None:
+            out = coalesce(s, block=block) if f["add"] else s.limit(0)
+        else:
+            out = coalesce(out.union(s), block=block) if f["add"] else subtract(out, s, block=block)
+    return out

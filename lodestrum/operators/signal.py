@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _rows(d: DataFrame, column: str, out: str, f: Callable[[np.ndarray], pd.DataFrame], keep: list[str]) -> DataFrame:
@@ -173,3 +174,63 @@ def autocorrelation(d: DataFrame, column: str, keep: list[str]) -> DataFrame:
         return pd.DataFrame({"acf": list(r), "acl": np.where(ok.any(axis=1), tau[np.arange(len(tau)), first], np.inf)})
 
     return _rows(d, column, "acf array<double>, acl double", f, keep)
+
+
+def spectrum(d: DataFrame, column: str, keep: list[str], dt: float = 1.0) -> DataFrame:
+    """Fourier transform over time of each series: arrays re and im, from zero to the Nyquist frequency."""
+
+    def f(x: np.ndarray) -> pd.DataFrame:
+        y = np.fft.rfft(x, axis=1) * dt
+        return pd.DataFrame({"re": list(y.real), "im": list(y.imag)})
+
+    return _rows(d, column, "re array<double>, im array<double>", f, keep)
+
+
+def back_to_time(d: DataFrame, keep: list[str], dt: float = 1.0) -> DataFrame:
+    """Series of an even number of samples from their spectrum (re, im)."""
+    both = d.withColumn("_z", F.concat("re", "im"))
+
+    def f(z: np.ndarray) -> pd.DataFrame:
+        n = z.shape[1] // 2
+        return pd.DataFrame({"x": list(np.fft.irfft(z[:, :n] + 1j * z[:, n:], axis=1) / dt)})
+
+    return _rows(both, "_z", "x array<double>", f, keep)
+
+
+def sigmasq_series(template: np.ndarray, psd: np.ndarray | None = None, low: float | None = None, high: float | None = None, dt: float = 1.0) -> np.ndarray:
+    """The part of sigmasq up to each bin; zero below the low cutoff, and from the high one on."""
+    n = len(template)
+    a, b = cutoffs(low, high, n, 1 / (n * dt))
+    p = 4 / (n * dt) * np.abs(np.fft.rfft(template) * dt) ** 2 / (1 if psd is None else psd)
+    out = np.zeros(len(p))
+    out[a:b] = np.cumsum(p[a:b])
+    return out
+
+
+def correlated(d: DataFrame, column: str, template: np.ndarray, keep: list[str], low: int, high: int) -> DataFrame:
+    """Spectrum of each series times the conjugate of the template's, in bins low to before high, zero elsewhere: arrays re and im."""
+    t = np.fft.rfft(template)
+
+    def f(x: np.ndarray) -> pd.DataFrame:
+        y = np.fft.rfft(x, axis=1) * t.conj()
+        y[:, :low] = y[:, high:] = 0
+        return pd.DataFrame({"re": list(y.real), "im": list(y.imag)})
+
+    return _rows(d, column, "re array<double>, im array<double>", f, keep)
+
+
+def white_noise(spark, blocks: int, size: int, seed: int = 0) -> DataFrame:
+    """Series (block, x) of unit normal samples; a sample is a hash of seed, block and place, so any task can make it anew."""
+    from .transforms import normal_quantile
+
+    u = lambda i: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", i), 11).cast("double") + 0.5) / float(1 << 53)
+    return spark.range(blocks).select(F.col("id").alias("block"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: normal_quantile(u(i))).alias("x"))
+
+
+def coloured(d: DataFrame, column: str, psd: np.ndarray, keep: list[str], dt: float = 1.0) -> DataFrame:
+    """Noise of a one-sided spectrum from white noise of unit variance."""
+
+    def f(x: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"noise": list(np.fft.irfft(np.fft.rfft(x, axis=1) * np.sqrt(psd / (2 * dt)), x.shape[1], axis=1))})
+
+    return _rows(d, column, "noise array<double>", f, keep)

@@ -215,3 +215,25 @@ class Joint:
                 raise RuntimeError("the constraints leave nearly nothing")
             if wanted.isEmpty():
                 return out
+
+
+def mass_ratio_prior(name: str, lo: float, hi: float) -> Prior:
+    """Mass ratio (at least 1) for masses that are uniform each; normed by Simpson's rule, drawn from a table of its integral."""
+    import numpy as np
+
+    x = np.linspace(lo, hi, 2001)
+    p = ((1 + x) / x**3) ** 0.4
+    upto = np.concatenate([[0.0], np.cumsum((p[1:] + p[:-1]) / 2 * np.diff(x))])
+    total = float((p[0] + p[-1] + 4 * p[1:-1:2].sum() + 2 * p[2:-1:2].sum()) * (x[1] - x[0]) / 3)
+    # A draw is a value on the table's inverse, 64 lines.
+    u = np.linspace(0, 1, 65)
+    at = F.array(*[F.lit(float(v)) for v in np.interp(u, upto / upto[-1], x)])
+    return Prior(name, lambda q: _within(q, lo, hi, 0.4 * F.log((1 + q) / F.pow(q, 3.0)) - math.log(total)), lambda v: L.at_linear(at, v * 64))
+
+
+def hexagonal(spark: SparkSession, lo: tuple[float, float], hi: tuple[float, float], distance: float) -> DataFrame:
+    """Points (x, y) of a plane such that none of the box is farther than distance from one; rows shifted by half a step."""
+    dx, dy = distance * math.sqrt(3), distance * 1.5
+    wide, high = int((hi[0] - lo[0]) / dx) + 2, int((hi[1] - lo[1]) / dy) + 2
+    rows = spark.range(high).select(F.col("id").alias("j")).select("j", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("i"))
+    return rows.select((lo[0] + dx * F.col("i") + F.when(F.col("j") % 2 == 1, dx / 2).otherwise(0.0) - dx / 2).alias("x"), (lo[1] + dy * F.col("j")).alias("y"))
