@@ -110,21 +110,21 @@ def without_loud(fg: DataFrame, bg: DataFrame, rate: float, live: float, w: int,
     return done
 
 
-def efficiency(d: DataFrame, width: float) -> DataFrame:
+def efficiency(d: DataFrame, width: float, *keys: str) -> DataFrame:
     """Found share of injections (distance, found) in bins of distance, with binomial error."""
-    g = d.groupBy(F.floor(F.col("distance") / width).alias("bin")).agg(F.sum(F.col("found").cast("double")).alias("found"), F.count("*").cast("double").alias("total"))
+    g = d.groupBy(*keys, F.floor(F.col("distance") / width).alias("bin")).agg(F.sum(F.col("found").cast("double")).alias("found"), F.count("*").cast("double").alias("total"))
     e = F.col("found") / F.col("total")
-    return g.select("bin", e.alias("eff"), F.sqrt(e * (1 - e) / F.col("total")).alias("err"))
+    return g.select(*keys, "bin", e.alias("eff"), F.sqrt(e * (1 - e) / F.col("total")).alias("err"))
 
 
-def efficiency_volume(eff: DataFrame, width: float, logarithmic: bool = False) -> DataFrame:
+def efficiency_volume(eff: DataFrame, width: float, logarithmic: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """Volume and its error from efficiencies (bin, eff, err) in bins of distance, by the midpoint of each.
 
     logarithmic: bins are of width in log distance, and midpoints geometric.
     """
     mid = (F.col("bin") + 0.5) * width
     cell = 4 * math.pi * (F.exp(3 * mid) if logarithmic else mid * mid) * width
-    return eff.agg(F.sum(cell * F.col("eff")).alias("volume"), F.sqrt(F.sum(F.pow(cell * F.col("err"), 2.0))).alias("error"))
+    return eff.groupBy(*keys).agg(F.sum(cell * F.col("eff")).alias("volume"), F.sqrt(F.sum(F.pow(cell * F.col("err"), 2.0))).alias("error"))
 
 
 def shell_volume(d: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from lodestrum.functions import columns as L
 from lodestrum.functions import physics as P
 from lodestrum.functions import series as S
 from lodestrum.operators import bins, clustering, diagnostics, intervals, ordered, signal, significance, tables, transforms
-from lodestrum.plans import catalog, conditioning, extended, files, parameters, ranking, selection, statistics  # noqa: F401
+from lodestrum.plans import catalog, conditioning, extended, files, further, parameters, ranking, selection, statistics  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrum.plans import catalog, conditioning, extended, files, parameters, ranking, selection, statistics  # noqa: F401 (they register their queries in catalog)
+from lodestrum.plans import catalog, conditioning, extended, files, further, parameters, ranking, selection, statistics  # noqa: F401 (they register their queries in catalog)
 
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
