@@ -185,6 +185,10 @@ def normal_quantile(u: Column) -> Column:
     return F.when(low >= 0.02425, horner(_MID[0], m * m) * m / horner(_MID[1], m * m)).when(u < 0.5, tail).otherwise(-tail)
 
 
+#: Draws looked at together for a number, of which the first that meets the constraints counts.
+TRIES = 16
+
+
 @dataclass
 class Joint:
     """Independent priors, and constraints (SQL text, derived names allowed) on all of them."""
@@ -201,20 +205,20 @@ class Joint:
 
     def draws(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         """n draws that meet the constraints, by their number. Each is a hash of seed, number and try, so any task can make it anew."""
-        wanted, out, turn = spark.range(n), None, 0
-        while True:
-            u = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(turn), F.lit(k), "id"), 11).cast("double") + 0.5) / float(1 << 53)
-            made = wanted.select("id", *[p.draw(u(k)).alias(p.name) for k, p in enumerate(self.priors)])
-            good = tables.constrained(made, self.constraints).select(made.columns)
+        u = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_try", F.lit(k), "id"), 11).cast("double") + 0.5) / float(1 << 53)
+        drawn = lambda d: d.select("id", "_try", *[p.draw(u(k)).alias(p.name) for k, p in enumerate(self.priors)])
+        names = [p.name for p in self.priors]
+        if not self.constraints:
+            return drawn(spark.range(n).withColumn("_try", F.lit(0))).drop("_try")
+        wanted, out = spark.range(n), None
+        for turn in range(0, 64 * TRIES, TRIES):
+            made = drawn(wanted.withColumn("_try", F.explode(F.sequence(F.lit(turn), F.lit(turn + TRIES - 1)))))
+            good = tables.constrained(made, self.constraints).groupBy("id").agg(F.min_by(F.struct(*names), "_try").alias("x")).select("id", "x.*")
             out = good if out is None else out.union(good)
-            if not self.constraints:
-                return out
             wanted = wanted.join(good.select("id"), "id", "left_anti")
-            turn += 1
-            if turn == 100:
-                raise RuntimeError("the constraints leave nearly nothing")
             if wanted.isEmpty():
                 return out
+        raise RuntimeError("the constraints leave nearly nothing")
 
 
 def mass_ratio_prior(name: str, lo: float, hi: float) -> Prior:
