@@ -46,6 +46,8 @@ SHINGLE, LEAST = 5, 80
 COUNTED = 1_000_000
 #: Texts of one shingle looked at in one place; more are dealt out by pairs of blocks.
 SHARED = 4_000
+#: Texts of one shingle whose sets are compared in one place; more are dealt out likewise.
+CHECKED = 500
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 #: Candidates of one text that are checked in one place.
@@ -172,12 +174,12 @@ def stars(group: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np
     return own, label[own]
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], search: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """search() of runs of whole groups of rows sorted by key."""
+def _whole_groups(batches: Iterator[pd.DataFrame], search: Callable[[pd.DataFrame], pd.DataFrame], gather: int = GATHER) -> Iterator[pd.DataFrame]:
+    """search() of runs of whole groups of rows sorted by key, of gather rows or more."""
     held: list[pd.DataFrame] = []
     for b in batches:
         held.append(b)
-        if sum(map(len, held)) >= GATHER:
+        if sum(map(len, held)) >= gather:
             d = pd.concat(held, ignore_index=True)
             last = d["key"].to_numpy() == d["key"].iloc[-1]  # this group may go on
             if not last.all():
@@ -400,48 +402,92 @@ def _rare_first(sets: DataFrame) -> DataFrame:
     return own.select("node", "n", "alone", F.posexplode("x").alias("at", "y")).select(F.col("y.key").alias("key"), "node", "n", (F.col("alone") + F.col("at")).alias("place"))
 
 
-def candidates(posts: DataFrame) -> DataFrame:
-    """Distinct pairs (u > v) of posts (key, node, n, place, sketch, root) that share a key, of unlike roots, and may be near copies.
+def _dealt(posts: DataFrame, shared: int) -> DataFrame:
+    """posts of keys with unlike roots, and side; a key of more than shared rows is dealt out by pairs of blocks, so every pair of its rows meets in one task.
 
-    A key of more than SHARED rows is dealt out by pairs of blocks, so every pair of its rows meets in one task.
+    Side -1: all pairs of one block; 0 and 1: pairs across two blocks.
     """
     held = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    d = posts.join(held.select("key", F.ceil(F.col("c") / SHARED).cast("int").alias("blocks")), "key")
+    d = posts.join(held.select("key", F.ceil(F.col("c") / shared).cast("int").alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # Side -1: all pairs of one block; 0 and 1: pairs across two blocks.
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
     pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    d = d.select(pair.alias("key"), "node", "n", "place", "sketch", "root", side.alias("side"))
+    rest = [c for c in posts.columns if c != "key"]
+    return d.select(F.col("key").alias("shingle"), pair.alias("key"), *rest, side.alias("side"))
+
+
+def _may_be_copies(d: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows sorted by key that share it, have unlike roots, and that sizes, places and sketches do not rule out."""
+    key, n, place, root, side = (d[c].to_numpy() for c in ("key", "n", "place", "root", "side"))
+    n = n.astype(np.int64)
+    sketch = np.frombuffer(b"".join(d["sketch"]), np.uint64).reshape(-1, SKETCH)
+    end = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
+    many = np.repeat(end, np.diff(np.r_[0, end])) - np.arange(len(key)) - 1
+    upto, at = np.cumsum(many), 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+        m = many[at:to]
+        i = np.repeat(np.arange(at, to), m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        least = -(-LEAST * (n[i] + n[j]) // (100 + LEAST))
+        # At the first shared key no more than what follows it can be shared; other keys of a pair may drop it.
+        may = (root[i] != root[j]) & ((side[i] < 0) | (side[i] != side[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+        i, j, least = i[may], j[may], least[may]
+        differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        may = differ <= n[i] + n[j] - 2 * least
+        yield i[may], j[may]
+        at = to
+
+
+def _with_candidates(posts: DataFrame) -> DataFrame:
+    """Distinct (key, node) of posts (key, node, n, place, sketch, root) that have a candidate at that key: a row for each post at most."""
 
     def search(d: pd.DataFrame) -> pd.DataFrame:
-        key, node, n, place, root, side = (d[c].to_numpy() for c in ("key", "node", "n", "place", "root", "side"))
-        n = n.astype(np.int64)
-        sketch = np.frombuffer(b"".join(d["sketch"]), np.uint64).reshape(-1, SKETCH)
-        end = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
-        many = np.repeat(end, np.diff(np.r_[0, end])) - np.arange(len(key)) - 1
-        upto, at, out = np.cumsum(many), 0, []
-        while at < len(key):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
-            m = many[at:to]
-            i = np.repeat(np.arange(at, to), m)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-            least = -(-LEAST * (n[i] + n[j]) // (100 + LEAST))
-            # At the first shared key no more than what follows it can be shared; other keys of a pair may drop it.
-            may = (root[i] != root[j]) & ((side[i] < 0) | (side[i] != side[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
-            i, j, least = i[may], j[may], least[may]
-            differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-            may = differ <= n[i] + n[j] - 2 * least
-            i, j = node[i[may]], node[j[may]]
-            out.append(np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1), axis=0))
-            at = to
-        uv = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"u": uv[:, 0], "v": uv[:, 1]})
-
-    found = d.repartition("key").sortWithinPartitions("key").mapInPandas(lambda batches: _whole_groups(batches, search), "u long, v long")
+        hit = np.zeros(len(d), bool)
+        for i, j in _may_be_copies(d):
+            hit[i] = hit[j] = True
+        return pd.DataFrame({"key": d["shingle"].to_numpy()[hit], "node": d["node"].to_numpy()[hit]})
+
+    found = _dealt(posts, SHARED).repartition("key").sortWithinPartitions("key").mapInPandas(lambda batches: _whole_groups(batches, search), "key long, node long")
     return found.distinct()
 
 
+def copies_among(posts: DataFrame) -> DataFrame:
+    """Links (u, v) whose components, with those of the roots, are those of all near copies among posts (as above, with s, the set).
+
+    Candidates are checked where they meet, and a pair that earlier links of the group join is not looked at, so no more links leave a task than it has rows.
+    """
+
+    def search(d: pd.DataFrame) -> pd.DataFrame:
+        sets = [x.view(np.uint64) if isinstance(x, np.ndarray) else np.asarray(x, np.int64).view(np.uint64) for x in d["s"]]
+        node, root = d["node"].to_numpy(), d["root"].to_numpy()
+        # The links found so far, over roots.
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        out = []
+        for ii, jj in _may_be_copies(d):
+            for i, j in zip(ii.tolist(), jj.tolist(), strict=True):
+                a, b = top(int(root[i])), top(int(root[j]))
+                if a == b:
+                    continue
+                x, y = sets[i], sets[j]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= LEAST * (len(x) + len(y) - both):
+                    up[max(a, b)] = min(a, b)
+                    out.append((max(node[i], node[j]), min(node[i], node[j])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    d = _dealt(posts, CHECKED).repartition("key").sortWithinPartitions("key")
+    return d.mapInPandas(lambda batches: _whole_groups(batches, search, CHECKED), "u long, v long").distinct()
+
+
 def _index_links(fps: DataFrame) -> DataFrame:
     """Pairs (u > v) of nodes whose fingerprints the index links: each with the least node of its fingerprint, and those with each other."""
     least = C.table(fps.groupBy("fp").agg(F.min("node").alias("least")), "near-dedup-fps")
@@ -463,7 +509,10 @@ def near_copies(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     good = C.table(_checked(first.union(_index_links(sets.select("node", "fp"))).distinct(), sets_only), "near-dedup-links")
     root = C.components(good)
     posts = posts.join(sets.select("node", "sketch"), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return C.components(good.union(C.table(_checked(candidates(posts), sets_only), "near-dedup-links")))
+    # Only those with a candidate left take their sets along.
+    some = C.table(_with_candidates(posts), "near-dedup-candidates")
+    rest = posts.join(some, ["key", "node"], "left_semi").join(sets_only, "node")
+    return C.components(good.union(C.table(copies_among(rest), "near-dedup-links")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

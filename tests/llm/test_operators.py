@@ -150,6 +150,25 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(a, b)
 
 
+def test_lattice_document_score(spark):
+    """The score of a text from the model worked out word by word: one round over the training words, then all segmentations."""
+    rng = np.random.default_rng(8)
+    stock = ["there", "the", "hôtel", "ab1", "中文", "Wording", "x", "segmentations"]
+    rows = [(i, " ".join(rng.choice(stock, int(rng.integers(0, 9))).tolist())) for i in range(14)] + [(14, None), (15, "unseen")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    pieces, prior = lattice.vocabulary()
+    first, seen = lattice.Lattice(pieces, prior), np.zeros(len(pieces))
+    for w, n in collections.Counter(w for i, t in rows if not held(i) for w in words(lower(t))).items():
+        first._plain_expected(w, float(n), seen)
+    seen += lattice.PRIOR_PIECES * np.exp(prior)
+    ends = sum(not held(i) for i, _ in rows)
+    total = seen.sum() + ends + 0.5
+    model = lattice.Lattice(pieces, np.log(seen / total))
+    want = {i: (sum(model.plain(w) for w in words(lower(t))) + math.log((ends + 0.5) / total)) / math.log(10) for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_langid(spark, docs, none):
     assert langid.identify(none).collect() == []
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
@@ -636,7 +655,8 @@ def test_keep_one_blocks(spark):
 
 def test_keep_one_hot(spark, monkeypatch):
     # Small bounds: every shared shingle is dealt out by pairs of blocks and nothing is lost.
-    monkeypatch.setattr(simhash, "SHARED", 50, raising=False)
+    monkeypatch.setattr(simhash, "SHARED", 50)
+    monkeypatch.setattr(simhash, "CHECKED", 7)
     monkeypatch.setattr(simhash, "HOT", 5)
     texts = template_pages()
     assert kept(spark, texts) == copies_kept(texts)
