@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,16 +46,43 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
+    for paths in _noted:
+        paths.append(path)
     return out
 
 
+_noted: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables written meanwhile."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
+def release(paths: list[str], docs: DataFrame) -> None:
+    """Remove tables of a stage whose result has been written, but those that docs still reads."""
+    read = " ".join(docs.inputFiles()) if paths else ""
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in read:
+            _remove(docs.sparkSession, path)
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table() that no plan reads any more."""
     path = getattr(df, "shared_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
