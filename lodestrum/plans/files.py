@@ -54,7 +54,7 @@ def xml_table(spark, d):
     row = F.concat_ws(",", C("s_suppkey").cast("string"), F.concat(F.lit('"'), "s_name", F.lit('"')), C("s_acctbal").cast("string"))
     rows = F.array_join(F.sort_array(F.collect_list(row)), ",\n")
     columns = "".join(f'<Column Name="sngl:{n}" Type="{t}"/>' for n, t in (("event", "int_8s"), ("name", "lstring"), ("snr", "real_8")))
-    text = F.concat(F.lit(f'<LIGO_LW><Table Name="sngl:table">{columns}<Stream Name="sngl:table" Delimiter=",">'), rows, F.lit("</Stream></Table></LIGO_LW>"))
+    text = F.concat(F.lit(f'<Doc><Table Name="sngl:table">{columns}<Stream Name="sngl:table" Delimiter=",">'), rows, F.lit("</Stream></Table></Doc>"))
     s = T.read(spark, d, "supplier").groupBy("s_nationkey").agg(text.alias("value"))
     for n in range(2):  # two documents
         half = s.where(C("s_nationkey") % 2 == n).orderBy("s_nationkey").agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
@@ -64,5 +64,5 @@ def xml_table(spark, d):
 
 def _documents(spark, path):
     whole = spark.read.text([f"{path}/0", f"{path}/1"], wholetext=True)
-    each = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<LIGO_LW>.*?</LIGO_LW>"), 0)).alias("value"))
+    each = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<Doc>.*?</Doc>"), 0)).alias("value"))
     return each.select(F.explode(files.xml_rows(C("value"), "sngl", {"event": "bigint", "name": "string", "snr": "double"})).alias("x")).select("x.*")
