@@ -46,3 +46,9 @@ def test_redshift_of_distance_in_few_steps(spark):
     began = time.monotonic()
     spark.range(0, 400_000, 1, 8).select(P.luminosity_distance(F.col("id") / 160_000).alias("d")).select(F.sum(P.redshift(F.col("d")))).collect()
     assert time.monotonic() - began < 40
+
+
+def test_chunks_of_long_segments(spark, tmp_path):
+    """From the sixth chunk on a place in microseconds is beyond an int."""
+    got, want = against_sql(spark, tmp_path, "overlapping_chunks", events=events([(1, 5, 0, "signup", 201), (2, 6, 1500, "signup", 300), (3, 7, 9000, "signup", 250), (4, 8, 60_000, "signup", 260), (5, 9, 450, "signup", 400)]))
+    assert got == want
