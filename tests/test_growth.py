@@ -58,3 +58,10 @@ def test_every_fourth_event_and_the_first_third(spark, tmp_path):
     rows = [(1, 0, 7, "click", 1), (2, 60, 7, "view", 2), (4, 90, 7, "purchase", 3), (3, 95, 7, "purchase", 4), (9, 30, 7, "signup", 5), (8, 99, 7, "signup", 6), (7, 20_000, 7, "signup", 7), (6, 50, 8, "signup", 8)]
     got, want = against_sql(spark, tmp_path, "four_way_coincidence", events=events(rows))
     assert got == want and got.count("[") == 3
+
+
+def test_reduced_clusters_weigh_ids(spark, tmp_path):
+    """Ids 10,000 apart outweigh a hundredth of the value."""
+    rows = [(1, 10, 5, "click", 3.25), (20_000, 20, 5, "click", 3.26), (2, 30, 6, "view", 3.25), (9_000, 40, 6, "view", 3.26), (3, 50, 6, "view", 1.0)]
+    got, want = against_sql(spark, tmp_path, "reduced_clusters", events=events(rows))
+    assert got == want
