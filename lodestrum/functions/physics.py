@@ -241,6 +241,16 @@ def spherical_to_cartesian(rho, azimuth, polar) -> tuple[Column, Column, Column]
     return rho * F.cos(azimuth) * F.sin(polar), rho * F.sin(azimuth) * F.sin(polar), rho * F.cos(polar)
 
 
+def spherical_near(rho, azimuth, polar, near_azimuth, near_polar) -> tuple[Column, Column]:
+    """The azimuth and polar angle of a direction in the turn that given ones lie in, at any number of turns; those given where the length is 0."""
+    half = F.floor(near_polar / PI)
+    odd = half % 2 != 0
+    p = F.when(odd, (half + 1) * PI - polar).otherwise(half * PI + polar)
+    a = F.when(odd, azimuth + PI).otherwise(azimuth)
+    a = a + 2 * PI * F.round((near_azimuth - a) / (2 * PI))
+    return F.when(rho == 0, near_azimuth).otherwise(a), F.when(rho == 0, near_polar).otherwise(p)
+
+
 def effective_distance(distance, inclination, plus, cross) -> Column:
     c = F.cos(inclination)
     return distance / F.sqrt(F.pow((1 + c * c) / 2 * plus, 2.0) + F.pow(c * cross, 2.0))

@@ -65,3 +65,10 @@ def test_reduced_clusters_weigh_ids(spark, tmp_path):
     rows = [(1, 10, 5, "click", 3.25), (20_000, 20, 5, "click", 3.26), (2, 30, 6, "view", 3.25), (9_000, 40, 6, "view", 3.26), (3, 50, 6, "view", 1.0)]
     got, want = against_sql(spark, tmp_path, "reduced_clusters", events=events(rows))
     assert got == want
+
+
+def test_spherical_angles_beyond_a_turn(spark, tmp_path):
+    """Angles of several turns, a polar one beyond half a turn, and a length of 0."""
+    rows = [(i, i, u, "view", v) for i, (u, v) in enumerate([(0, 0.0), (340, 0.0), (628, 12.5), (629, 12.5), (1500, 99.99), (9000, 560.21), (89_999, 700.5), (314, 628.31), (315, 628.32), (77, 1300.25), (1, 3.0), (2, 511.0)])]
+    got, want = against_sql(spark, tmp_path, "scalar_conversions", events=events(rows))
+    assert got == want
