@@ -71,7 +71,9 @@ def reflected(x, lo: float, hi: float):
 
 
 def logit(x, lo: float, hi: float):
-    return F.log((x - lo) / (hi - x))
+    """Infinite at the ends, not a number beyond them."""
+    inside = F.when((x > lo) & (x < hi), F.log((x - lo) / (hi - x)))
+    return inside.when(x == lo, float("-inf")).when(x == hi, float("inf")).when(x.isNotNull(), float("nan"))
 
 
 def logistic(y, lo: float, hi: float):

@@ -72,3 +72,10 @@ def test_spherical_angles_beyond_a_turn(spark, tmp_path):
     rows = [(i, i, u, "view", v) for i, (u, v) in enumerate([(0, 0.0), (340, 0.0), (628, 12.5), (629, 12.5), (1500, 99.99), (9000, 560.21), (89_999, 700.5), (314, 628.31), (315, 628.32), (77, 1300.25), (1, 3.0), (2, 511.0)])]
     got, want = against_sql(spark, tmp_path, "scalar_conversions", events=events(rows))
     assert got == want
+
+
+def test_logit_at_and_beyond_its_ends(spark, tmp_path):
+    rows = [(i, i, 1, "view", v) for i, v in enumerate([0.0, 0.01, 250.0, 499.99, 500.0, 500.01, 560.21])]
+    got, want = against_sql(spark, tmp_path, "transforms_and_priors", events=events(rows))
+    assert got == want and "-inf" in got and "nan" in got
+    assert spark.createDataFrame([(None,)], "x double").select(L.logit(F.col("x"), 0, 500)).first()[0] is None
