@@ -79,3 +79,12 @@ def test_logit_at_and_beyond_its_ends(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "transforms_and_priors", events=events(rows))
     assert got == want and "-inf" in got and "nan" in got
     assert spark.createDataFrame([(None,)], "x double").select(L.logit(F.col("x"), 0, 500)).first()[0] is None
+
+
+def test_single_stands_where_a_coincidence_adds_nothing(spark, tmp_path):
+    """Left open by the SQL; an event whose partner has no size is a single, whatever the order of the rows."""
+    rows = [(i, 10 * i, i // 2, "click" if i % 2 else "view", 3.25 * i if i % 2 else 0.0) for i in range(400)]
+    events_ = duckdb.connect()
+    events_.sql(f"COPY ({events(rows)}) TO '{tmp_path}/events.parquet'")
+    got = catalog.QUERIES["best_coincidence"](spark, str(tmp_path)).collect()
+    assert len(got) == 200 and {r["combo"] for r in got} == {"a"}
