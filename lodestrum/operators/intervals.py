@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,17 +85,66 @@ def mark(points: DataFrame, iv: DataFrame, bucket: int, *keys: str) -> DataFrame
     return both.where("_p = 1").drop("_b", "_end", "_at", "_p")
 
 
+def _best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    """Intervals of x with the interval of y that shares most time, by search in order: _id, _start and _shared.
+
+    Of y those are looked at that no interval before them reaches beyond; both their borders
+    rise. For each of x that is the last to start before it, the first to end after it, or
+    the longest between these, which lie inside it.
+    """
+    y = y.sort_values(["start", "end", "id"], ascending=[True, False, True], ignore_index=True)
+    start, end = y["start"].to_numpy(), y["end"].to_numpy()
+    top = np.flatnonzero(np.concatenate([[True], end[1:] > np.maximum.accumulate(end)[:-1]]))
+    s, e, lo, hi = start[top], end[top], x["start"].to_numpy(), x["end"].to_numpy()
+    before, after = np.searchsorted(s, lo, "right") - 1, np.searchsorted(e, hi, "left")
+    shared = lambda n: np.minimum(hi, e[n]) - np.maximum(lo, s[n])
+    # One that holds all of x is the first to end after it; else the earliest of equals.
+    best = np.where(after <= before, np.minimum(after, len(s) - 1), np.maximum(before, 0))
+    most = shared(best)
+
+    def better(n: np.ndarray, where: np.ndarray) -> None:
+        v = shared(n)
+        where = where & (v > most)
+        best[where], most[where] = n[where], v[where]
+
+    many = np.where(after > before, after - before - 1, 0)
+    # Longest of 1, 2, 4 and so on from each place; two of them cover any run.
+    level, span, long = np.arange(len(s)), 1, e - s
+    while (many >= span).any():
+        now = np.flatnonzero((many >= span) & (many < 2 * span))
+        a, b = level[before[now] + 1], level[after[now] - span]
+        n = np.zeros(len(lo), int)
+        n[now] = np.where(long[b] > long[a], b, a)
+        better(n, (many >= span) & (many < 2 * span))
+        a, b = level[:-span], level[span:]
+        level, span = np.where(long[b] > long[a], b, a), 2 * span
+    better(np.minimum(after, len(s) - 1), (after > before) & (after < len(s)))
+    # Of those that start together and reach the end of x, the least id.
+    first = top[best]
+    least = y.groupby("start")["id"].cummin().to_numpy()
+    low, high = first.copy(), np.searchsorted(start, start[first], "right")
+    while (low < high).any():
+        mid = (low + high) // 2
+        reach = (low < high) & (end[np.minimum(mid, len(end) - 1)] >= np.minimum(hi, end[first]))
+        low, high = np.where(reach, mid + 1, low), np.where(reach, high, mid)
+    x = x.assign(_id=least[low - 1], _start=start[first], _shared=most)
+    return x[most > 0]
+
+
 def most_shared(a: DataFrame, b: DataFrame, *keys: str, block: int = 3600 * 1_000_000) -> DataFrame:
     """Intervals of a (id, start, end) with the interval of b that shares most time: other (its id) and shared; the first in time of equals.
 
-    Both are dealt to the blocks they touch; a pair that meets in several is looked at in the first. Intervals of a without one have no row.
+    Both are dealt to the blocks they touch, and the best is found in each without pairs. Intervals of a without one have no row.
     """
-    deal = lambda d, x: d.select(*keys, F.struct("id", "start", "end").alias(x), F.explode(F.sequence(block_of(F.col("start"), block), block_of(F.col("end") - 1, block))).alias("_b"))
-    j = deal(a, "a").join(deal(b, "b"), [*keys, "_b"])
-    lo, hi = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
-    j = j.where((lo < hi) & (F.col("_b") == block_of(lo, block)))
-    best = F.max_by(F.struct("b.id", (hi - lo).alias("shared")), F.struct((hi - lo), -F.col("b.start"), -F.col("b.id")))
-    return j.groupBy(*keys, "a").agg(best.alias("x")).select(*keys, F.col("a.id").alias("id"), F.col("x.id").alias("other"), F.col("x.shared").alias("shared"))
+    blocks = F.explode(F.sequence(block_of(F.col("start"), block), block_of(F.col("end") - 1, block)))
+    deal = lambda d: d.where("start < end").select(*keys, *[F.col(c).cast("long").alias(c) for c in ("id", "start", "end")], blocks.alias("_b")).groupBy(*keys, "_b")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in a.select(*keys).schema)
+    names = [*keys, "id", "start", "end", "_id", "_start", "_shared"]
+    empty = pd.DataFrame({n: [] for n in names})
+    best = lambda x, y: _best(x, y)[names] if len(x) and len(y) else empty
+    j = deal(a).cogroup(deal(b)).applyInPandas(best, kept + ", ".join(f"{n} long" for n in names[len(keys) :]))
+    top = F.max_by(F.struct("_id", "_shared"), F.struct("_shared", -F.col("_start"), -F.col("_id")))
+    return j.groupBy(*keys, "id", "start", "end").agg(top.alias("x")).select(*keys, "id", F.col("x._id").alias("other"), F.col("x._shared").alias("shared"))
 
 
 def parse_flags(text: str) -> list[dict]:

@@ -88,3 +88,21 @@ def test_single_stands_where_a_coincidence_adds_nothing(spark, tmp_path):
     events_.sql(f"COPY ({events(rows)}) TO '{tmp_path}/events.parquet'")
     got = catalog.QUERIES["best_coincidence"](spark, str(tmp_path)).collect()
     assert len(got) == 200 and {r["combo"] for r in got} == {"a"}
+
+
+def test_most_shared_without_pairs(spark):
+    """Intervals of any lengths with many equals, in small and large blocks, against all pairs; and no join of pairs in the plan."""
+    rng = np.random.default_rng(3)
+    make = lambda n, longest: [(int(i), int(s), int(s + w)) for i, s, w in zip(rng.permutation(n), rng.integers(0, 300, n), rng.integers(0, longest, n), strict=True)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, start long, end long")
+    for n, longest, other in ((150, 30, 12), (150, 60, 60), (150, 10, 40), (8, 40, 5)):
+        a, b = make(150, longest), make(n, other)
+        want = {}
+        for i, s, e in a:
+            near = [(min(e, y) - max(s, x), -x, -k) for k, x, y in b if min(e, y) > max(s, x)]
+            if near:
+                want[i] = (-max(near)[2], max(near)[0])
+        for block in (7, 50, 10_000):
+            d = intervals.most_shared(frame(a), frame(b), block=block)
+            assert {r["id"]: (r["other"], r["shared"]) for r in d.collect()} == want
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
