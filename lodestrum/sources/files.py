@@ -87,10 +87,16 @@ def xml_rows(text: Column, table: str, columns: dict[str, str]) -> Column:
 
     names = F.transform(F.xpath(text, F.lit(of("Column/@Name"))), lambda n: F.element_at(F.split(n, ":"), -1))
     cells = F.transform(F.split(F.xpath_string(text, F.lit(of("Stream"))), ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s", " ")), '^"|"$', ""))
-    wide = F.size(names)
-    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(cells) / wide).cast("int") - 1, F.lit(0))), lambda i: F.map_from_arrays(names, F.slice(cells, i * wide + 1, wide)))
-    cast = lambda m: F.struct(*[F.element_at(m, n).cast(t).alias(n) for n, t in columns.items()])
-    return F.when(F.size(cells) >= wide, F.transform(rows, cast))
+    place = lambda found, n: F.nullif(F.array_position(found, n).cast("int"), F.lit(0)) - 1
+    # The document is taken apart once: what a lambda does not take as its variable it works out anew for every row.
+    parts = F.array(F.struct(names.alias("n"), cells.alias("c")))
+    parts = F.transform(parts, lambda p: F.struct(F.size(p["n"]).alias("wide"), p["c"].alias("c"), *[place(p["n"], n).alias(f"_{k}") for k, n in enumerate(columns)]))
+
+    def rows(p: Column) -> Column:
+        row = lambda i: F.struct(*[F.get(p["c"], i * p["wide"] + p[f"_{k}"]).cast(t).alias(n) for k, (n, t) in enumerate(columns.items())])
+        return F.when(F.size(p["c"]) >= p["wide"], F.transform(F.sequence(F.lit(0), F.floor(F.size(p["c"]) / p["wide"]).cast("int") - 1), row))
+
+    return F.get(F.transform(parts, rows), F.lit(0))
 
 
 def xml_table(spark: SparkSession, path: str, table: str, columns: dict[str, str]) -> DataFrame:

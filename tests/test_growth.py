@@ -112,3 +112,14 @@ def test_utc_times_take_each_step_once(spark):
     """The seconds of a row were once written out at every leap second of every leap second."""
     plan = catalog.QUERIES["utc_times"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("timestampdiff(") <= 2
+
+
+def test_xml_documents_of_many_rows(spark):
+    """20,000 rows of one document, a column left out and one that is not there; a document without rows. Once each row took the whole document apart."""
+    head = '<Doc><Table Name="sngl:table"><Column Name="sngl:event" Type="int_8s"/><Column Name="sngl:name" Type="lstring"/><Column Name="sngl:snr" Type="real_8"/><Stream Name="sngl:table" Delimiter=",">'
+    text = lambda n: head + ",\n".join(f'{i},"s {i}",{i / 4}' for i in range(n)) + "</Stream></Table></Doc>"
+    d = spark.createDataFrame([(text(20_000),), (text(0),)], "value string").coalesce(1)
+    began = time.monotonic()
+    got = d.select(F.explode(S.xml_rows(F.col("value"), "sngl", {"snr": "double", "event": "bigint", "none": "string"})).alias("x")).select("x.*").collect()
+    assert time.monotonic() - began < 30
+    assert [tuple(r) for r in got] == [(i / 4, i, None) for i in range(20_000)]
