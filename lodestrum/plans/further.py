@@ -64,10 +64,8 @@ def data_quality_lookup(spark, d):
 @query("""SELECT i, x.id AS best, x.stat, apart FROM (SELECT a.id AS i, b.id, b.stat, b.t - a.t AS apart, row_number() OVER (PARTITION BY a.id ORDER BY b.stat DESC, b.id) AS rn FROM {T} a JOIN {T} b ON a.k = 'purchase' AND a.stat > 100 AND b.k = 'view' AND b.t BETWEEN a.t - 900000000 AND a.t + 900000000) x WHERE rn = 1""")
 def injection_followup(spark, d):
     """The loudest trigger near each loud injection."""
-    a = _side(spark, d, "purchase").where("stat > 100").withColumn("z", F.lit(0))
-    p = coincidence.time_coincidence(a, _side(spark, d, "view").withColumn("z", F.lit(0)), 900 * SEC + 1, "z").where(F.abs(C("b_t") - C("a_t")) <= 900 * SEC)
-    best = F.max_by(F.struct("b_id", "b_stat", (C("b_t") - C("a_t")).alias("apart")), F.struct("b_stat", -C("b_id")))
-    return p.groupBy(C("a_id").alias("i")).agg(best.alias("x")).select("i", C("x.b_id").alias("best"), C("x.b_stat").alias("stat"), C("x.apart").alias("apart"))
+    a = _side(spark, d, "purchase").where("stat > 100")
+    return coincidence.loudest_near(a, _side(spark, d, "view"), 900 * SEC).withColumnRenamed("id", "i")
 
 
 # --- views ---------------------------------------------------------------------------------------

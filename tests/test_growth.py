@@ -123,3 +123,21 @@ def test_xml_documents_of_many_rows(spark):
     got = d.select(F.explode(S.xml_rows(F.col("value"), "sngl", {"snr": "double", "event": "bigint", "none": "string"})).alias("x")).select("x.*").collect()
     assert time.monotonic() - began < 30
     assert [tuple(r) for r in got] == [(i / 4, i, None) for i in range(20_000)]
+
+
+def test_loudest_near_without_pairs(spark):
+    """Windows of any width with many equals, against all pairs; and no join in the plan."""
+    rng = np.random.default_rng(5)
+    make = lambda n: [(int(i), int(t), float(s), int(k)) for i, t, s, k in zip(rng.permutation(n), rng.integers(0, 300, n), rng.integers(0, 5, n), rng.integers(0, 2, n), strict=True)]
+    a, b = make(120), make(150)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, t long, stat double, k long")
+    for w in (1, 3, 10, 1000):
+        want = {}
+        for i, t, _, k in a:
+            near = [(s, -j, u - t) for j, u, s, key in b if key == k and abs(u - t) <= w]
+            if near:
+                want[i] = (-max(near)[1], max(near)[0], max(near)[2])
+        d = coincidence.loudest_near(frame(a), frame(b), w, "k")
+        assert {r["id"]: (r["best"], r["stat"], r["apart"]) for r in d.collect()} == want
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(d) and "Join" not in plan(catalog.QUERIES["injection_followup"](spark, "/root/testdata/sf0.001"))
